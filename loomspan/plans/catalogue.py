@@ -1,4 +1,621 @@
-"""Named queries and their DuckDB SQL."""
+"""Named queries over the test tables, with DuckDB SQL for each.
+
+The tables have no annotations, so both sides of scoring are derived: truth is what the recognisers find with valid check digits;
+predictions are the same matches disturbed by a rule on (document, offset): some missing, some with a wrong end or label, some
+repeated, some with a nested extra. The figures say nothing about a detector's quality.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import crypto, ontology
+from ..functions.spans import WORD, chunk_plan, find_tokens, regex_spans, unreachable_reason
+from ..operators import detect, leakscan, normalize, predictions, scoring, tokenize, vault
+
+THRESHOLD = 0.1
+SALT = bytes(range(32))
+TENANT = "6f1e4d2c-9b3a-4c58-8d7e-1a2b3c4d5e6f"
+HASH_KEY = bytes(range(100, 132))
+MASTER = bytes(range(200, 232))
+TYPES = tokenize.TYPES
+ASCII_WORD = r"[A-Za-z0-9_]+"
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def matches(spark, d) -> DataFrame:
+    return detect.candidates(table(spark, d, "documents"), keep=("lang", "source"))
+
+
+def truth_of(found: DataFrame) -> DataFrame:
+    return scoring.mapped(found.where((F.col("label") != "credit_debit_card") | detect.luhn(F.col("value"))))
+
+
+def predicted_of(found: DataFrame) -> DataFrame:
+    """Disturbed matches: (example_index, label, start, end, score), repeats included."""
+    x = F.col("example_index")
+    mode = (x * 31 + F.col("start")) % 10
+    score = ((x * 7919 + F.col("start") * 104729) % 1000) / 1000.0
+    one = lambda label, start, end, s: F.struct(label.alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"), s.alias("score"))
+    label, start, end = F.col("label"), F.col("start"), F.col("end")
+    exact = one(label, start, end, score)
+    other = F.when(label == "password", "user_name").otherwise("account_number")
+    rows = (
+        F.when(mode == 0, F.array_except(F.array(exact), F.array(exact))).when(mode == 1, F.array(one(label, start, F.least(end + 1, F.col("length")), score)))
+        .when(mode == 2, F.array(one(other, start, end, score))).when(mode == 3, F.array(exact, one(label, start, end, score / 2)))
+        .when(mode == 4, F.array(exact, one(label, start, end - 2, score))).otherwise(F.array(exact))
+    )
+    return found.select("example_index", F.explode(rows).alias("p")).select("example_index", "p.*")
+
+
+def scored(spark, d, threshold: float = THRESHOLD):
+    """truth, native predictions above the threshold, kept and removed predictions."""
+    found = matches(spark, d)
+    truth = truth_of(found)
+    native = scoring.mapped(scoring.above(predictions.deduplicated(predicted_of(found)), threshold))
+    return truth, native, native.where(F.col("entity_type") != "UNMAPPED"), native.where(F.col("entity_type") == "UNMAPPED")
+
+
+# ---- the same derivation in SQL ----------------------------------------------------------------------------------
+
+_TYPE = "CASE label WHEN 'email' THEN 'EMAIL_ADDRESS' WHEN 'phone_number' THEN 'PHONE_NUMBER' WHEN 'ipv4' THEN 'IP_ADDRESS' WHEN 'credit_debit_card' THEN 'CREDIT_CARD' WHEN 'user_name' THEN 'USERNAME' WHEN 'account_number' THEN 'BANK_ACCOUNT' ELSE 'UNMAPPED' END"
+_LUHN = "(" + " + ".join(f"CASE WHEN CAST(substr(value, {i}, 1) AS INT) > 4 THEN CAST(substr(value, {i}, 1) AS INT) * 2 - 9 ELSE CAST(substr(value, {i}, 1) AS INT) * 2 END" if i % 2 else f"CAST(substr(value, {i}, 1) AS INT)" for i in range(1, 17)) + ") % 10 = 0"
+_P = detect.PATTERN.replace("'", "''")
+
+
+def prelude(threshold: float = THRESHOLD, pattern: str = _P) -> str:
+    return f"""WITH g AS (SELECT doc_id, lang, source, text, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM documents),
+e AS (SELECT doc_id, lang, source, length(text) AS n, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM g),
+s0 AS (SELECT doc_id, lang, source, n, hits[i] AS value, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM e),
+c AS (SELECT doc_id, lang, source, n, value, s, s + length(value) AS e, CASE WHEN contains(value, '@') THEN 'email' WHEN starts_with(value, '+') THEN 'phone_number' WHEN starts_with(value, 'AKIA') THEN 'api_key'
+    WHEN starts_with(value, 'password=') THEN 'password' WHEN contains(value, '.') THEN 'ipv4' ELSE 'credit_debit_card' END AS label FROM s0),
+truth AS (SELECT doc_id, lang, source, n, value, s, e, label, {_TYPE} AS typ FROM c WHERE CASE WHEN label = 'credit_debit_card' THEN {_LUHN} ELSE true END),
+m AS (SELECT *, (doc_id * 31 + s) % 10 AS mode, ((doc_id * 7919 + s * 104729) % 1000) / 1000.0::DOUBLE AS score FROM c),
+raw AS (SELECT doc_id, label, s, e, score FROM m WHERE mode >= 3 UNION ALL SELECT doc_id, label, s, least(e + 1, n), score FROM m WHERE mode = 1
+    UNION ALL SELECT doc_id, CASE WHEN label = 'password' THEN 'user_name' ELSE 'account_number' END, s, e, score FROM m WHERE mode = 2
+    UNION ALL SELECT doc_id, label, s, e, score / 2 FROM m WHERE mode = 3 UNION ALL SELECT doc_id, label, s, e - 2, score FROM m WHERE mode = 4),
+ded AS (SELECT doc_id, label, s, e, max(score) AS score, count(*) AS copies FROM raw GROUP BY ALL),
+nat AS (SELECT *, {_TYPE} AS typ FROM ded WHERE score > {threshold}),
+pred AS (SELECT * FROM nat WHERE typ <> 'UNMAPPED'), removed AS (SELECT * FROM nat WHERE typ = 'UNMAPPED'),
+mc AS (SELECT doc_id, typ, s, e, CAST(sum(t) AS BIGINT) AS t, CAST(sum(p) AS BIGINT) AS p FROM (SELECT doc_id, typ, s, e, 1 AS t, 0 AS p FROM truth UNION ALL SELECT doc_id, typ, s, e, 0, 1 FROM pred) GROUP BY ALL),
+k AS (SELECT *, least(t, p) AS tp, greatest(p - t, 0) AS fp, greatest(t - p, 0) AS fn FROM mc)
+"""
+
+
+_SUMS = "CAST(coalesce(sum(tp), 0) AS BIGINT) AS tp, CAST(coalesce(sum(fp), 0) AS BIGINT) AS fp, CAST(coalesce(sum(fn), 0) AS BIGINT) AS fn"
+
+
+def _prf(columns: str, inner: str) -> str:
+    """SELECT of columns with precision, recall, f1 from a subquery that has tp, fp, fn."""
+    return f"""SELECT {columns} tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1
+    FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re FROM ({inner}))"""
+
+
+def _overlap(a: str, b: str) -> str:
+    return f"{a}.doc_id = {b}.doc_id AND {b}.s < {a}.e AND {a}.s < {b}.e"
+
+
+_FN = f"""fn AS (SELECT k.doc_id, k.typ, k.s, k.e, k.fn AS n, CASE WHEN k.typ = 'UNMAPPED' THEN 'unmapped_ground_truth_label'
+    WHEN EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = k.doc_id AND p.s = k.s AND p.e = k.e) THEN 'wrong_entity_type'
+    WHEN EXISTS (SELECT 1 FROM pred p WHERE {_overlap("k", "p")} AND p.typ = k.typ) THEN 'wrong_boundaries'
+    WHEN EXISTS (SELECT 1 FROM pred p WHERE {_overlap("k", "p")}) THEN 'overlapping_prediction'
+    WHEN EXISTS (SELECT 1 FROM removed p WHERE {_overlap("k", "p")}) THEN 'unmapped_prediction_label' ELSE 'missed_entity' END AS category FROM k WHERE k.fn > 0)"""
+_FP = f"""fp AS (SELECT k.doc_id, k.typ, k.s, k.e, k.fp AS n, CASE
+    WHEN EXISTS (SELECT 1 FROM truth p WHERE p.doc_id = k.doc_id AND p.s = k.s AND p.e = k.e) THEN 'wrong_entity_type'
+    WHEN EXISTS (SELECT 1 FROM truth p WHERE {_overlap("k", "p")} AND p.typ = k.typ) THEN 'wrong_boundaries'
+    WHEN EXISTS (SELECT 1 FROM truth p WHERE {_overlap("k", "p")}) THEN 'overlapping_prediction' ELSE 'false_positive' END AS category,
+    EXISTS (SELECT 1 FROM truth p WHERE {_overlap("k", "p")} AND ((p.s <= k.s AND k.e <= p.e) OR (k.s <= p.s AND p.e <= k.e))) AS nested FROM k WHERE k.fp > 0)"""
+_FAILED = f"""failed AS (SELECT 'fn' AS kind, doc_id, typ, s, e, CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE {_overlap("k", "p")} AND p.typ = k.typ) THEN 'span_mismatch' WHEN typ = 'UNMAPPED' THEN 'unmapped_source_label'
+    WHEN typ IN ('EMAIL_ADDRESS', 'PHONE_NUMBER', 'IP_ADDRESS', 'CREDIT_CARD') THEN 'supported_direct' ELSE 'unsupported_entity' END AS failure_group FROM k WHERE p = 0
+    UNION ALL SELECT 'fp', doc_id, typ, s, e, CASE WHEN EXISTS (SELECT 1 FROM truth p WHERE {_overlap("k", "p")} AND p.typ = k.typ) THEN 'span_mismatch' ELSE 'detector_recognizer' END FROM k WHERE t = 0)"""
+
+
+# ---- detection and normalisation -----------------------------------------------------------------------------------
+
+
+@query(prelude() + "SELECT typ AS entity_type, count(*) AS n, count(DISTINCT doc_id) AS documents FROM truth GROUP BY ALL")
+def entity_counts_by_type(spark, d):
+    return truth_of(matches(spark, d)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("example_index").alias("documents"))
+
+
+@query(prelude() + 'SELECT doc_id, label, typ AS entity_type, s AS "start", e AS "end", sha256(value) AS value_sha256 FROM truth')
+def entity_spans(spark, d):
+    return truth_of(matches(spark, d)).select(F.col("example_index").alias("doc_id"), "label", "entity_type", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("value", 256).alias("value_sha256"))
+
+
+@query(prelude() + "SELECT lang, typ AS entity_type, count(*) AS n FROM truth GROUP BY ALL")
+def entity_counts_by_lang(spark, d):
+    return truth_of(matches(spark, d)).groupBy("lang", "entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ONTOLOGY_SQL = ", ".join(f"('{k}', '{v}')" for k, v in ontology.ONTOLOGY.items())
+
+
+@query(prelude() + f", o(label, gateway_type) AS (VALUES {_ONTOLOGY_SQL}) SELECT label, gateway_type, count(truth.doc_id) AS spans, count(truth.doc_id) = 0 AS never_seen FROM o LEFT JOIN truth USING (label) GROUP BY ALL")
+def ontology_coverage(spark, d):
+    found = truth_of(matches(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    out = ontology.ontology_table(spark).join(found, "label", "left").select("label", "gateway_type", F.coalesce("n", F.lit(0)).alias("spans"))
+    return out.withColumn("never_seen", F.col("spans") == 0)
+
+
+def records(spark, d) -> DataFrame:
+    """Raw records: annotations are all matches, with one broken annotation in every seventh document that has any."""
+    docs = table(spark, d, "documents")
+    found = F.transform(regex_spans(F.col("text"), detect.PATTERN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), detect.native_label(s["value"]).alias("label")))
+    broken = F.array(F.struct(F.length("text").alias("start"), (F.length("text") + 1).alias("end"), F.lit("future_label").alias("label")))
+    base = docs.select(F.col("doc_id").alias("example_index"), "text", found.alias("spans")).where(F.size("spans") > 0)
+    return base.withColumn("spans", F.when(F.col("example_index") % 7 == 0, F.concat("spans", broken)).otherwise(F.col("spans")))
+
+
+@query(prelude() + f"""SELECT doc_id AS example_index, typ AS entity_type, s AS "start", e AS "end", row_number() OVER (PARTITION BY doc_id ORDER BY s, e, typ) - 1 AS position FROM (
+    SELECT doc_id, {_TYPE} AS typ, s, e FROM c UNION ALL SELECT doc_id, 'UNMAPPED', n, n + 1 FROM (SELECT DISTINCT doc_id, n FROM c) WHERE doc_id % 7 = 0)""")
+def normalized_entities(spark, d):
+    out = normalize.normalise(records(spark, d))
+    return out.select("example_index", F.posexplode("entities").alias("position", "e")).select("example_index", F.col("e.type").alias("entity_type"), F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"), F.col("position").cast("long").alias("position"))
+
+
+@query(prelude() + "SELECT doc_id AS example_index, count(*) AS position, 'bounds' AS reason FROM c WHERE doc_id % 7 = 0 GROUP BY ALL")
+def invalid_spans(spark, d):
+    return normalize.span_violations(records(spark, d))
+
+
+@query(prelude() + """SELECT label, count(*) AS spans, count(DISTINCT doc_id) AS records FROM (SELECT doc_id, label FROM c UNION ALL SELECT DISTINCT doc_id, 'future_label' FROM c WHERE doc_id % 7 = 0) GROUP BY ALL""")
+def split_inspection(spark, d):
+    return normalize.inspect_split(records(spark, d))
+
+
+# ---- strict scoring ------------------------------------------------------------------------------------------------
+
+
+@query(prelude() + f"SELECT typ AS entity_type, {_SUMS} FROM k GROUP BY ALL")
+def strict_counts(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.strict_counts(scoring.match_counts(truth, kept))
+
+
+@query(prelude() + f"SELECT typ AS entity_type, {_SUMS} FROM k GROUP BY ALL")
+def strict_counts_by_set_operations(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.strict_by_set_operations(truth, kept)
+
+
+@query(prelude() + _prf("entity_type, tp + fn AS support, tp + fp AS predictions,", f"SELECT typ AS entity_type, {_SUMS} FROM k GROUP BY ALL"))
+def strict_metrics(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.strict_metrics(scoring.match_counts(truth, kept))
+
+
+@query(prelude() + _prf("", f"SELECT {_SUMS} FROM k"))
+def strict_overall(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.strict_overall(scoring.match_counts(truth, kept))
+
+
+@query(prelude() + _prf("entity_type,", f"SELECT typ AS entity_type, {_SUMS} FROM k GROUP BY ROLLUP (typ)"))
+def strict_rollup(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.strict_rollup(scoring.match_counts(truth, kept))
+
+
+@query(prelude() + "SELECT count(*) AS examples, count(*) FILTER (doc_id IN (SELECT doc_id FROM truth)) AS with_entities FROM documents")
+def example_counts(spark, d):
+    truth = truth_of(matches(spark, d)).select("example_index").distinct().withColumn("has", F.lit(True))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("example_index"))
+    return docs.join(truth, "example_index", "left").agg(F.count(F.lit(1)).alias("examples"), F.count("has").alias("with_entities"))
+
+
+@query(prelude() + f", {_FAILED} SELECT kind, failure_group, count(*) AS n FROM failed GROUP BY ALL")
+def failure_groups(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.failure_groups(scoring.failures(truth, kept))
+
+
+def _samples(spark, d, kind):
+    truth, _, kept, _ = scored(spark, d)
+    out = scoring.first_samples(scoring.failures(truth, kept), kind)
+    return out.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
+def _samples_sql(kind: str) -> str:
+    return prelude() + f""", {_FAILED} SELECT * FROM (SELECT row_number() OVER (ORDER BY doc_id, s, e, typ) AS position, doc_id AS example_index, typ AS entity_type, s AS "start", e AS "end", failure_group FROM failed WHERE kind = '{kind}') WHERE position <= 25"""
+
+
+@query(_samples_sql("fn"))
+def fn_samples(spark, d):
+    return _samples(spark, d, "fn")
+
+
+@query(_samples_sql("fp"))
+def fp_samples(spark, d):
+    return _samples(spark, d, "fp")
+
+
+@query(prelude() + f", {_FN} SELECT category, CAST(sum(n) AS BIGINT) AS n FROM fn GROUP BY ALL")
+def fn_taxonomy(spark, d):
+    truth, _, kept, removed = scored(spark, d)
+    return scoring.taxonomy(scoring.false_negatives(truth, kept, removed))
+
+
+@query(prelude() + f", {_FP} SELECT category, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN nested THEN n ELSE 0 END) AS BIGINT) AS nested FROM fp GROUP BY ALL")
+def fp_taxonomy(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.false_positives(truth, kept).groupBy("category").agg(F.sum("n").cast("long").alias("n"), F.sum(F.when(F.col("nested"), F.col("n")).otherwise(0)).cast("long").alias("nested"))
+
+
+@query(prelude() + f", {_FN}, {_FP}, both_ AS (SELECT 'fn' AS kind, typ, category, n FROM fn UNION ALL SELECT 'fp', typ, category, n FROM fp) SELECT kind, typ AS entity_type, category, CAST(sum(n) AS BIGINT) AS n FROM both_ GROUP BY GROUPING SETS ((kind, typ, category), (kind, category))")
+def taxonomy_by_type(spark, d):
+    truth, _, kept, removed = scored(spark, d)
+    fn = scoring.taxonomy_by_type(scoring.false_negatives(truth, kept, removed)).withColumn("kind", F.lit("fn"))
+    return fn.unionByName(scoring.taxonomy_by_type(scoring.false_positives(truth, kept)).withColumn("kind", F.lit("fp")))
+
+
+_NATIVE = "nk AS (SELECT *, least(t, p) AS tp, greatest(p - t, 0) AS fp, greatest(t - p, 0) AS fn FROM (SELECT doc_id, label, s, e, CAST(sum(t) AS BIGINT) AS t, CAST(sum(p) AS BIGINT) AS p FROM (SELECT doc_id, label, s, e, 1 AS t, 0 AS p FROM truth UNION ALL SELECT doc_id, label, s, e, 0, 1 FROM nat) GROUP BY ALL))"
+
+
+@query(prelude() + ", " + _NATIVE + " " + _prf("label,", f"SELECT label, {_SUMS} FROM nk GROUP BY ALL"))
+def native_metrics(spark, d):
+    truth, native, _, _ = scored(spark, d)
+    return scoring.native_metrics(scoring.native_counts(truth, native))
+
+
+@query(prelude() + ", " + _NATIVE + " SELECT label, CAST(sum(p) AS BIGINT) AS removed, CAST(sum(tp) AS BIGINT) AS removed_exact FROM nk WHERE label IN ('api_key', 'password') GROUP BY ALL HAVING sum(p) > 0")
+def removed_by_ontology(spark, d):
+    truth, native, _, _ = scored(spark, d)
+    return scoring.removed_by_ontology(scoring.native_counts(truth, native))
+
+
+@query(prelude() + f""", u AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM nat p WHERE p.doc_id = k.doc_id AND p.s = k.s AND p.e = k.e AND p.label = k.label) THEN 'exact_native_match'
+    WHEN EXISTS (SELECT 1 FROM nat p WHERE p.doc_id = k.doc_id AND p.s = k.s AND p.e = k.e) THEN 'exact_span_other_native_label'
+    WHEN EXISTS (SELECT 1 FROM nat p WHERE {_overlap("k", "p")}) THEN 'overlapping_prediction' ELSE 'no_prediction' END AS outcome FROM truth k WHERE typ = 'UNMAPPED')
+    SELECT coalesce(outcome, 'total') AS outcome, count(*) AS n FROM u GROUP BY ROLLUP (outcome)""")
+def unmapped_outcomes(spark, d):
+    truth, native, _, _ = scored(spark, d)
+    return scoring.unmapped_outcomes(truth, native)
+
+
+@query(prelude() + f""", {_FN}, h AS (SELECT fn.typ AS entity_type, p.label AS native_label, CAST(sum(fn.n) AS BIGINT) AS n FROM fn JOIN nat p ON {_overlap("fn", "p")} WHERE category <> 'unmapped_ground_truth_label' GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY n DESC, native_label) AS rank FROM h) WHERE rank <= 5""")
+def fn_overlapping_labels_top5(spark, d):
+    truth, native, kept, removed = scored(spark, d)
+    return scoring.top_overlapping_labels(scoring.false_negatives(truth, kept, removed), native)
+
+
+@query(prelude() + f"""SELECT label, reason, count(*) AS n, count(*) FILTER (NOT EXISTS (SELECT 1 FROM nat p WHERE p.doc_id = r.doc_id AND p.label = r.label AND p.s = r.s AND p.e = r.e)) AS missed FROM (
+    SELECT doc_id, label, s, e, CASE WHEN s > 0 AND regexp_matches(substr(t.text, s, 2), '^{ASCII_WORD}$') AND length(regexp_extract(substr(t.text, s, 2), '{ASCII_WORD}')) = 2 THEN 'misaligned_word_boundary'
+        WHEN e < length(t.text) AND regexp_matches(substr(t.text, e, 2), '^{ASCII_WORD}$') AND length(regexp_extract(substr(t.text, e, 2), '{ASCII_WORD}')) = 2 THEN 'misaligned_word_boundary'
+        WHEN len(regexp_extract_all(value, '[A-Za-z0-9_]+|[^A-Za-z0-9_[:space:]]')) > 6 THEN 'wider_than_max_width' ELSE 'reachable' END AS reason
+    FROM truth JOIN (SELECT doc_id, text FROM documents) t USING (doc_id)) r GROUP BY ALL""")
+def reachability(spark, d):
+    """Words here are ASCII runs and single marks, so that every engine splits alike; six words are reachable."""
+    docs = table(spark, d, "documents")
+    words = regex_spans(F.col("text"), ASCII_WORD + r"|[^A-Za-z0-9_\s]")
+    found = F.transform(regex_spans(F.col("text"), detect.PATTERN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), detect.native_label(s["value"]).alias("label")))
+    with_any = docs.where(F.col("text").rlike(detect.PATTERN)).select("doc_id", words.alias("words"), F.explode(found).alias("s"))
+    truth = with_any.where((F.col("s.label") != "credit_debit_card") | detect.luhn(F.col("s.value"))).select(F.col("doc_id").alias("example_index"), "s.label", "s.start", "s.end", F.coalesce(unreachable_reason(F.col("words"), F.col("s.start"), F.col("s.end"), 6), F.lit("reachable")).alias("reason"))
+    _, native, _, _ = scored(spark, d)
+    hit = native.select("example_index", "label", "start", "end").distinct().withColumn("hit", F.lit(True))
+    return truth.join(hit, ["example_index", "label", "start", "end"], "left").groupBy("label", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit").isNull()).alias("missed"))
+
+
+@query(prelude() + ", x AS (SELECT d.lang, d.source, CASE WHEN d.n_chars > 5000 THEN 'chunked' ELSE 'single_window' END AS chunking, coalesce(q.tp, 0) AS tp, coalesce(q.fp, 0) AS fp, coalesce(q.fn, 0) AS fn FROM documents d LEFT JOIN (SELECT doc_id, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM k GROUP BY ALL) q USING (doc_id)), y AS (SELECT 'lang' AS dimension, lang AS value, tp, fp, fn FROM x UNION ALL SELECT 'source', source, tp, fp, fn FROM x UNION ALL SELECT 'chunking', chunking, tp, fp, fn FROM x) " + _prf("dimension, value, examples,", f"SELECT dimension, value, count(*) AS examples, {_SUMS} FROM y GROUP BY ALL"))
+def slice_metrics(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("example_index"), "lang", "source", F.when(F.col("n_chars") > 5000, "chunked").otherwise("single_window").alias("chunking"))
+    return scoring.slices(docs, scoring.per_example(scoring.match_counts(truth, kept)), "lang", "source", "chunking")
+
+
+@query(prelude() + "SELECT CAST((SELECT sum(tp) FROM k) AS BIGINT) AS exact_first")
+def harness_check(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return scoring.greedy_matches(truth, kept).select("exact_first")
+
+
+# ---- predictions -------------------------------------------------------------------------------------------------
+
+
+@query(prelude() + ', r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label, score DESC) AS a FROM ded) SELECT x.doc_id AS example_index, count(*) AS pairs FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.a < y.a AND x.s < y.e AND y.s < x.e GROUP BY ALL')
+def prediction_overlap_pairs(spark, d):
+    return predictions.overlap_pairs(predictions.deduplicated(predicted_of(matches(spark, d))))
+
+
+@query(prelude() + 'SELECT doc_id AS example_index, label, s AS "start", e AS "end", score, copies FROM ded')
+def dedup_predictions(spark, d):
+    return predictions.deduplicated(predicted_of(matches(spark, d))).withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
+@query(prelude() + 'SELECT doc_id AS example_index, label, s AS "start", e AS "end", score, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label, score DESC) AS position FROM raw')
+def canonical_predictions(spark, d):
+    return predictions.canonical(predicted_of(matches(spark, d))).withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
+@query(prelude() + """SELECT doc_id AS example_index, s AS "start", e AS "end", CASE WHEN label = 'api_key' THEN 'label' WHEN e > n THEN 'bounds' ELSE 'score' END AS reason FROM (
+    SELECT r.doc_id, r.label, r.s, CASE WHEN r.doc_id % 5 = 0 THEN r.e + 100000 ELSE r.e END AS e, CASE WHEN r.doc_id % 3 = 0 THEN r.score + 1 ELSE r.score END AS score, d.n_chars AS n FROM raw r JOIN documents d USING (doc_id)) WHERE label = 'api_key' OR e > n OR score > 1""")
+def prediction_violations(spark, d):
+    docs = table(spark, d, "documents")
+    bad = predicted_of(matches(spark, d))
+    bad = bad.withColumn("end", F.when(F.col("example_index") % 5 == 0, F.col("end") + 100000).otherwise(F.col("end"))).withColumn("score", F.when(F.col("example_index") % 3 == 0, F.col("score") + 1).otherwise(F.col("score")))
+    labels = tuple(x for x in ontology.ONTOLOGY if x != "api_key")
+    out = predictions.violations(bad, docs.select(F.col("doc_id").alias("example_index"), F.length("text").alias("length")), labels)
+    return out.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+
+
+_SWEEP = ", th(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in predictions.THRESHOLDS) + f"""), sp AS (SELECT doc_id, typ, s, e, count(*) FILTER (score IS NULL) AS t, list(score) FILTER (score IS NOT NULL) AS sc FROM (SELECT doc_id, typ, s, e, NULL::DOUBLE AS score FROM truth UNION ALL SELECT doc_id, {_TYPE}, s, e, score FROM ded WHERE {_TYPE} <> 'UNMAPPED') GROUP BY ALL),
+    sw AS (SELECT threshold, doc_id, typ, s, e, t, coalesce(len(list_filter(sc, lambda x: x > threshold)), 0) AS p FROM sp, th),
+    sweep AS ({_prf("threshold,", "SELECT threshold, CAST(sum(least(t, p)) AS BIGINT) AS tp, CAST(sum(greatest(p - t, 0)) AS BIGINT) AS fp, CAST(sum(greatest(t - p, 0)) AS BIGINT) AS fn FROM sw GROUP BY ALL")}) """
+
+
+def _sweep(spark, d):
+    found = matches(spark, d)
+    return predictions.threshold_sweep(truth_of(found), scoring.mapped(predictions.deduplicated(predicted_of(found))))
+
+
+@query(prelude() + _SWEEP + "SELECT * FROM sweep")
+def threshold_sweep(spark, d):
+    return _sweep(spark, d)
+
+
+@query(prelude() + _SWEEP + "SELECT threshold, f1 FROM sweep WHERE f1 >= (SELECT max(f1) FROM sweep) - 1e-4 ORDER BY threshold LIMIT 1")
+def selected_threshold(spark, d):
+    return predictions.selected_threshold(_sweep(spark, d))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY sha256('13:' || doc_id), doc_id LIMIT 100)")
+def dev_subset(spark, d):
+    return predictions.keyed_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 100, 13)
+
+
+def _candidate_run(raw: DataFrame) -> DataFrame:
+    """A second run: without one in eleven documents' predictions, with scores shifted a little."""
+    return raw.where(F.col("example_index") % 11 != 0).withColumn("score", F.col("score") + 0.001)
+
+
+_AGREE = """SELECT count(*) FILTER (only_r = 0 AND only_c = 0) AS identical_examples, count(*) AS examples, CAST(coalesce(sum(only_r), 0) AS BIGINT) AS only_reference, CAST(coalesce(sum(only_c), 0) AS BIGINT) AS only_candidate, CAST(coalesce(sum(shared), 0) AS BIGINT) AS shared, round(coalesce(max(delta), 0), 6) AS max_score_delta
+    FROM (SELECT doc_id, count(*) FILTER (c IS NULL) AS only_r, count(*) FILTER (r IS NULL) AS only_c, count(*) FILTER (r IS NOT NULL AND c IS NOT NULL) AS shared, max(abs(r - c)) AS delta FROM
+    (SELECT doc_id, label, s, e, score AS r FROM {a}) FULL JOIN (SELECT doc_id, label, s, e, {score} AS c FROM {b}) USING (doc_id, label, s, e) GROUP BY ALL)"""
+
+
+@query(prelude() + "SELECT *, only_reference = 0 AND only_candidate = 0 AND max_score_delta <= 0.01 AS within_tolerance FROM (" + _AGREE.format(a="ded", b="ded WHERE doc_id % 11 <> 0", score="score + 0.001") + ")")
+def config_agreement(spark, d):
+    raw = predicted_of(matches(spark, d))
+    return predictions.agreement(raw, _candidate_run(raw), 0.01)
+
+
+@query(prelude() + "SELECT examples, identical_examples, only_reference AS only_post_filtered, only_candidate AS only_direct FROM (" + _AGREE.format(a="(SELECT * FROM ded WHERE score > 0.5)", b="(SELECT * FROM ded WHERE score > 0.5 AND doc_id % 11 <> 0)", score="score") + ")")
+def postfilter_verification(spark, d):
+    raw = predictions.deduplicated(predicted_of(matches(spark, d)))
+    return predictions.post_filter_check(raw, scoring.above(raw, 0.5).where(F.col("example_index") % 11 != 0), 0.5)
+
+
+_METRIC = "SELECT entity_type, tp + fn AS support, tp + fp AS predictions, f1 FROM (" + _prf("entity_type,", "SELECT typ AS entity_type, " + _SUMS + " FROM {k} GROUP BY ALL") + ")"
+
+
+@query(prelude() + """, pred5 AS (SELECT * FROM pred WHERE score > 0.5),
+    k5 AS (SELECT *, least(t, p) AS tp, greatest(p - t, 0) AS fp, greatest(t - p, 0) AS fn FROM (SELECT doc_id, typ, s, e, CAST(sum(t) AS BIGINT) AS t, CAST(sum(p) AS BIGINT) AS p FROM (SELECT doc_id, typ, s, e, 1 AS t, 0 AS p FROM truth UNION ALL SELECT doc_id, typ, s, e, 0, 1 FROM pred5) GROUP BY ALL)),
+    a AS (""" + _METRIC.format(k="k") + "), b AS (" + _METRIC.format(k="k5") + """)
+    SELECT entity_type, greatest(coalesce(a.support, 0), coalesce(b.support, 0)) AS support, coalesce(a.f1, 0) AS a_f1, coalesce(b.f1, 0) AS b_f1, round(coalesce(b.f1, 0) - coalesce(a.f1, 0), 6) AS delta_f1,
+    CASE WHEN entity_type = 'UNMAPPED' THEN 'excluded' WHEN round(coalesce(b.f1, 0) - coalesce(a.f1, 0), 6) >= 0.05 THEN 'b_stronger' WHEN round(coalesce(b.f1, 0) - coalesce(a.f1, 0), 6) <= -0.05 THEN 'a_stronger' ELSE 'similar' END AS strength,
+    coalesce(a.predictions, 0) > 0 AS a_emits, coalesce(b.predictions, 0) > 0 AS b_emits FROM a FULL JOIN b USING (entity_type)""")
+def detector_comparison(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    a = scoring.strict_metrics(scoring.match_counts(truth, kept))
+    b = scoring.strict_metrics(scoring.match_counts(truth, scoring.above(kept, 0.5)))
+    return predictions.detector_comparison(a, b)
+
+
+@query(prelude() + "SELECT round(CASE WHEN sum(fn + tp) FILTER (typ <> 'UNMAPPED') > 0 THEN sum(tp) / (sum(fn + tp) FILTER (typ <> 'UNMAPPED')) ELSE 0 END, 6) AS recall, CAST(coalesce(sum(fn + tp) FILTER (typ <> 'UNMAPPED'), 0) AS BIGINT) AS support FROM k")
+def recall_without_unmapped(spark, d):
+    truth, _, kept, _ = scored(spark, d)
+    return predictions.recall_without_unmapped(scoring.strict_metrics(scoring.match_counts(truth, kept)))
+
+
+@query("WITH v AS (SELECT row_number() OVER (ORDER BY value) - 1 AS r, value, count(*) OVER () AS n FROM events WHERE value IS NOT NULL), f(fraction) AS (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE), (1.0::DOUBLE)) SELECT fraction, value FROM v, f WHERE r = least(n - 1, CAST(floor(fraction * n) AS BIGINT))")
+def latency_percentiles(spark, d):
+    return predictions.percentile(table(spark, d, "events"), "value", (0.5, 0.9, 0.95, 0.99, 1.0))
+
+
+@query("SELECT event_type AS session, count(*) AS examples, round(sum(value), 3) AS seconds, round(CASE WHEN sum(value) > 0 THEN count(*) / sum(value) ELSE 0 END, 3) AS throughput FROM events GROUP BY ALL")
+def runtime_summary(spark, d):
+    total = F.sum("value")
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("session")).agg(F.count(F.lit(1)).alias("examples"), F.round(total, 3).alias("seconds"), F.round(F.when(total > 0, F.count(F.lit(1)) / total).otherwise(0.0), 3).alias("throughput"))
+
+
+@query("SELECT 'value' AS metric, round(avg(value), 1) AS mean, round(max(value), 1) AS max FROM events UNION ALL SELECT 'user_id', round(avg(user_id), 1), round(max(user_id)::DOUBLE, 1) FROM events")
+def resource_summary(spark, d):
+    return predictions.summary(table(spark, d, "events").select("value", "user_id"), ("value", "user_id"))
+
+
+# ---- words and chunks ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS BIGINT) AS words FROM documents")
+def word_spans(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.size(regex_spans(F.col("text"), ASCII_WORD)).cast("long").alias("words"))
+
+
+@query("""WITH g AS (SELECT doc_id, length(text) AS n, string_split_regex(text, '[^[:space:]]+') AS gaps, regexp_extract_all(text, '[^[:space:]]+') AS hits FROM documents),
+    w AS (SELECT doc_id, n, len(hits) AS k, list_transform(range(1, len(hits) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)) AS st, hits FROM g),
+    f AS (SELECT *, CASE WHEN k <= 100 THEN [0] ELSE list_concat(range(0, k - 100, 60), [k - 100]) END AS firsts FROM w),
+    x AS (SELECT *, unnest(range(1, len(firsts) + 1)) AS i FROM f)
+    SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk, CAST(CASE WHEN len(firsts) = 1 THEN 0 ELSE st[firsts[i] + 1] END AS BIGINT) AS char_start, CAST(CASE WHEN len(firsts) = 1 THEN n ELSE st[least(firsts[i] + 100, k)] + length(hits[least(firsts[i] + 100, k)]) END AS BIGINT) AS char_end,
+    CAST(CASE WHEN i = 1 THEN 0 ELSE st[firsts[i] + 21] END AS BIGINT) AS own_start, CAST(CASE WHEN i = len(firsts) THEN n ELSE st[firsts[i + 1] + 21] END AS BIGINT) AS own_end, CAST(least(100, k) AS BIGINT) AS word_count FROM x""")
+def chunk_windows(spark, d):
+    """Windows of 100 words with a margin of 20 over white-space words."""
+    docs = table(spark, d, "documents")
+    plan = chunk_plan(regex_spans(F.col("text"), r"[^ \t\n\x0B\f\r]+"), F.length("text"), 100, 20)
+    out = docs.select("doc_id", F.explode(plan).alias("c")).select("doc_id", "c.*")
+    return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk", "char_start", "char_end", "own_start", "own_end", "word_count")))
+
+
+@query(None)
+def structural_counters(spark, d):
+    """Chunks, chunked texts, duplicates removed and overlapping pairs of all predictions, with the full word definition."""
+    docs = table(spark, d, "documents")
+    chunks = docs.select(F.size(chunk_plan(regex_spans(F.col("text"), WORD), F.length("text"), 384, 48)).alias("c"))
+    counted = chunks.agg(F.sum("c").cast("long").alias("chunks"), F.count_if(F.col("c") > 1).alias("chunked_examples"))
+    deduped = predictions.deduplicated(predicted_of(matches(spark, d)))
+    removed = deduped.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicates_removed"))
+    pairs = predictions.overlap_pairs(deduped).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("overlap_pairs"))
+    return counted.crossJoin(removed).crossJoin(pairs)  # one row each
+
+
+# ---- tokens and vault ----------------------------------------------------------------------------------------------
+
+
+def documents_with_spans(spark, d) -> DataFrame:
+    """Documents with detected spans of supported types, plus shorter spans inside them that the selection has to drop."""
+    docs = table(spark, d, "documents")
+    found = F.transform(regex_spans(F.col("text"), detect.PATTERN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), ontology.gateway_type(detect.native_label(s["value"])).alias("entity_type")))
+    supported = F.filter(found, lambda s: s["entity_type"].isin(*TYPES) & ((s["entity_type"] != "CREDIT_CARD") | detect.luhn(s["value"])))
+    inner = F.transform(supported, lambda s: F.struct(s["start"].alias("start"), (s["end"] - 2).alias("end"), F.substring(s["value"], F.lit(1), F.length(s["value"]) - 2).alias("value"), s["entity_type"].alias("entity_type")))
+    return docs.select("doc_id", "text", F.concat(inner, supported).alias("spans"))
+
+
+_IN, _OUT = (p.hex() for p in crypto.pads(SALT))
+_HIN, _HOUT = (p.hex() for p in crypto.pads(HASH_KEY))
+
+
+def _field(x: str) -> str:
+    return f"unhex(printf('%08x', octet_length({x}))) || {x}"
+
+
+def _hmac(inner: str, outer: str, message: str) -> str:
+    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || {message})))"
+
+
+_TOKEN = "'<PII_' || typ || ':' || substr(" + _hmac(_IN, _OUT, " || ".join(_field(f"encode({x})") for x in ("CAST(doc_id AS VARCHAR)", "typ", "value"))) + ", 1, 32) || '>'"
+_TOKENS = f", tk AS (SELECT doc_id, typ, value, s, e, {_TOKEN} AS token FROM truth WHERE typ IN ('EMAIL_ADDRESS', 'PHONE_NUMBER', 'IP_ADDRESS', 'CREDIT_CARD'))"
+
+
+@query(prelude() + _TOKENS + """, b AS (SELECT doc_id, list(token ORDER BY s) AS ts, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM tk GROUP BY ALL)
+    SELECT d.doc_id, sha256(CASE WHEN b.doc_id IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(ts) + 1), lambda i: substr(text, CASE WHEN i = 1 THEN 1 ELSE es[i - 1] + 1 END, ss[i] - CASE WHEN i = 1 THEN 0 ELSE es[i - 1] END) || ts[i]), '') || substr(text, es[len(es)] + 1) END) AS text_sha256, CAST(coalesce(len(list_distinct(ts)), 0) AS BIGINT) AS tokens
+    FROM documents d LEFT JOIN b USING (doc_id)""")
+def tokenized_text(spark, d):
+    out = tokenize.tokenised(documents_with_spans(spark, d), SALT)
+    return out.select("doc_id", F.sha2("tokenised", 256).alias("text_sha256"), F.size("mappings").cast("long").alias("tokens"))
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def roundtrip_check(spark, d):
+    out = tokenize.restored(tokenize.tokenised(documents_with_spans(spark, d), SALT))
+    return out.select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
+
+
+@query(prelude() + _TOKENS + "SELECT DISTINCT doc_id, token, typ AS entity_type, sha256(value) AS value_sha256 FROM tk")
+def token_mappings(spark, d):
+    out = tokenize.tokenised(documents_with_spans(spark, d), SALT).select("doc_id", F.explode("mappings").alias("m"))
+    return out.select("doc_id", "m.token", "m.entity_type", F.sha2("m.value", 256).alias("value_sha256"))
+
+
+@query(prelude() + _TOKENS + "SELECT doc_id, CAST(count(DISTINCT token) AS BIGINT) AS tokens, count(DISTINCT token) > 1000 AS too_large FROM tk GROUP BY ALL")
+def token_requests(spark, d):
+    out = tokenize.token_requests(tokenize.tokenised(documents_with_spans(spark, d), SALT))
+    return out.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").cast("long").alias("tokens"), "too_large")
+
+
+def _mapping_rows(spark, d) -> DataFrame:
+    return tokenize.tokenised(documents_with_spans(spark, d), SALT).select("doc_id", F.explode("mappings").alias("m")).select("doc_id", "m.*")
+
+
+_MESSAGE = " || ".join(_field(x) for x in (f"unhex('{crypto.HASH_DOMAIN.hex()}')", f"unhex('{TENANT.replace('-', '')}')", "encode(token)"))
+_HASHED = f", th AS (SELECT DISTINCT doc_id, token, typ, value, {_hmac(_HIN, _HOUT, _MESSAGE)} AS hash FROM tk)"
+
+
+@query(prelude() + _TOKENS + _HASHED + "SELECT doc_id, token, hash AS token_hash FROM th")
+def vault_token_hash(spark, d):
+    hashed = F.lower(F.hex(crypto.token_hash(HASH_KEY, F.lit(TENANT), F.col("token"))))
+    return _mapping_rows(spark, d).select("doc_id", "token", hashed.alias("token_hash"))
+
+
+KEYS = vault.Keys({"k1": MASTER}, "k1", HASH_KEY)
+WRITER = vault.Principal(TENANT, frozenset({vault.STORE, vault.DETOKENIZE}))
+NOW = "timestamp'2030-01-01 00:00:00'"
+
+
+def _vault(spark, d) -> DataFrame:
+    """Vault rows of all mappings: documents divisible by three expire after a minute. Keys are random, so the rows are written once and read again."""
+    rows = _mapping_rows(spark, d)
+    short = vault.entries(rows.where("doc_id % 3 = 0"), WRITER, KEYS, 60, F.expr(NOW))
+    long = vault.entries(rows.where("doc_id % 3 <> 0"), WRITER, KEYS, 3600, F.expr(NOW))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/loomspan-checkpoints"))
+    return short.union(long).checkpoint()
+
+
+LATER = "timestamp'2030-01-01 00:10:00'"
+
+
+@query(prelude() + _TOKENS + _HASHED + "SELECT doc_id AS document, token, typ AS entity_type, sha256(value) AS value_sha256 FROM th WHERE doc_id % 3 <> 0")
+def vault_resolve(spark, d):
+    requests = _mapping_rows(spark, d).select(F.col("doc_id").alias("document"), "token")
+    unknown = requests.withColumn("token", F.concat(F.lit("<PII_PERSON:"), F.lit("0" * 32), F.lit(">")))
+    out = vault.resolved(requests.union(unknown), _vault(spark, d), WRITER, KEYS, F.expr(LATER))
+    return out.select("document", "token", "entity_type", F.sha2("value", 256).alias("value_sha256"))
+
+
+@query(prelude() + _TOKENS + _HASHED + "SELECT typ AS entity_type, count(*) FILTER (doc_id % 3 = 0) AS expired, count(*) FILTER (doc_id % 3 <> 0) AS active FROM th GROUP BY ALL")
+def vault_purge_counts(spark, d):
+    rows = _vault(spark, d)
+    gone = F.col("expires_at") <= F.expr(LATER)
+    return rows.groupBy("entity_type").agg(F.count_if(gone).alias("expired"), F.count_if(~gone).alias("active"))
+
+
+@query("SELECT unnest(['token_hash_length', 'nonce_length', 'ciphertext_length', 'expiry_order', 'primary_key']) AS rule, 0::BIGINT AS violations")
+def vault_constraint_violations(spark, d):
+    return vault.constraint_violations(_vault(spark, d))
+
+
+@query(prelude() + _TOKENS + "SELECT CAST(count(*) AS BIGINT) AS documents, CAST((SELECT count(DISTINCT doc_id) FROM tk) AS BIGINT) AS with_tokens, CAST((SELECT count(*) FROM (SELECT DISTINCT doc_id, token FROM tk)) AS BIGINT) AS tokens FROM documents")
+def distinct_tokens(spark, d):
+    out = tokenize.tokenised(documents_with_spans(spark, d), SALT).select(F.size(find_tokens(F.col("tokenised"))).alias("n"))
+    return out.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") > 0).alias("with_tokens"), F.sum("n").cast("long").alias("tokens"))
+
+
+# ---- leak scan and chat requests ---------------------------------------------------------------------------------
+
+
+@query(prelude() + """, v AS (SELECT DISTINCT value FROM (SELECT value FROM truth UNION ALL SELECT substr(text, 1, 40) FROM benchmark) WHERE length(value) >= 6),
+    h AS (SELECT d.doc_id, v.value, unnest(list_filter(range(1, length(d.text) - length(v.value) + 2), lambda p: substr(d.text, p, length(v.value)) = v.value)) AS at FROM documents d JOIN v ON contains(d.text, v.value)),
+    f AS (SELECT h.doc_id, value, at FROM h JOIN documents d USING (doc_id) WHERE (at = 1 OR NOT regexp_matches(substr(text, at - 1, 1), '[\\pL\\pN_]')) AND (at + length(value) > length(text) OR NOT regexp_matches(substr(text, at + length(value), 1), '[\\pL\\pN_]')))
+    SELECT doc_id, CASE WHEN NOT regexp_matches(value, '\\pL') THEN 'numeric' ELSE 'leak' END AS kind, count(*) AS hits FROM f GROUP BY ALL""")
+def leak_scan(spark, d):
+    docs = table(spark, d, "documents")
+    values = leakscan.sensitive_values(table(spark, d, "benchmark"), truth_of(matches(spark, d)))
+    return leakscan.leak_counts(leakscan.leaks(docs.select("doc_id", "text"), values, None, "doc_id", "text"), "doc_id")
+
+
+@query("""SELECT conv_id, count(*) AS messages, count(*) FILTER (role IS NULL OR role NOT IN ('system', 'user', 'assistant')) AS bad_roles, count(*) FILTER (coalesce(text, '') = '') AS empty_messages,
+    count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role IS NULL OR role NOT IN ('system', 'user', 'assistant')) = 0 AND count(*) FILTER (coalesce(text, '') = '') = 0 AS valid FROM conversations GROUP BY ALL""")
+def chat_request_validation(spark, d):
+    bad = F.count_if(F.col("role").isNull() | ~F.col("role").isin("system", "user", "assistant"))
+    empty = F.count_if(F.coalesce("text", F.lit("")) == "")
+    out = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), bad.alias("bad_roles"), empty.alias("empty_messages"), F.count_if(F.col("role") == "user").alias("users"))
+    return out.select("conv_id", "messages", "bad_roles", "empty_messages", ((F.col("users") > 0) & (F.col("bad_roles") == 0) & (F.col("empty_messages") == 0)).alias("valid"))
+
+
+@query(prelude() + "SELECT typ AS entity_type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT typ, least(t, p) AS tp, greatest(p - t, 0) AS fp, greatest(t - p, 0) AS fn FROM (SELECT doc_id, typ, s, e, sum(t) AS t, sum(p) AS p FROM (SELECT doc_id, typ, s, e, 1 AS t, 0 AS p FROM truth UNION ALL SELECT doc_id, " + _TYPE + ", s, e, 0, 1 FROM c) GROUP BY ALL)) GROUP BY ALL")
+def streaming_strict_counts(spark, d):
+    """The streaming evaluation run to the end of the available files; its state lives in the shared folder."""
+    import uuid
+
+    from ..streaming import evaluation
+
+    place = spark.conf.get("spark.checkpoint.dir", "/tmp/loomspan-checkpoints").rstrip("/")
+    docs = table(spark, d, "documents")
+    return evaluation.evaluate(spark, f"{d}/documents.parquet*", f"{place}/evaluation-{uuid.uuid4().hex}", docs.schema)
