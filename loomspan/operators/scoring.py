@@ -180,8 +180,9 @@ def unmapped_outcomes(truth: DataFrame, native: DataFrame) -> DataFrame:
     numbered = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
     flagged = with_overlaps(numbered, native.select("example_index", F.col("label").alias("entity_type"), "start", "end"), {"any": F.lit(True), "span": _same_span(), "exact": _same_span() & _same_type()})
     outcome = F.when(F.col("exact"), "exact_native_match").when(F.col("span"), "exact_span_other_native_label").when(F.col("any"), "overlapping_prediction").otherwise("no_prediction")
-    named = flagged.select(outcome.alias("outcome"), "n")
-    return named.rollup("outcome").agg(F.sum("n").cast("long").alias("n")).select(F.coalesce("outcome", F.lit("total")).alias("outcome"), F.coalesce("n", F.lit(0)).alias("n"))
+    named = flagged.select(F.explode(F.array(outcome, F.lit("total"))).alias("outcome"), "n")
+    nothing = truth.sparkSession.range(1).select(F.lit("total").alias("outcome"), F.lit(0).cast("long").alias("n"))  # the total is there without spans, too
+    return named.union(nothing).groupBy("outcome").agg(F.sum("n").cast("long").alias("n"))
 
 
 def per_example(counts: DataFrame, key: str = "example_index") -> DataFrame:

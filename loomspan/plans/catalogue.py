@@ -591,8 +591,8 @@ def distinct_tokens(spark, d):
 
 
 @query(prelude() + """, v AS (SELECT DISTINCT value FROM (SELECT value FROM truth UNION ALL SELECT substr(text, 1, 40) FROM benchmark) WHERE length(value) >= 6),
-    h AS (SELECT d.doc_id, v.value, unnest(list_filter(range(1, length(d.text) - length(v.value) + 2), lambda p: substr(d.text, p, length(v.value)) = v.value)) AS at FROM documents d JOIN v ON contains(d.text, v.value)),
-    f AS (SELECT h.doc_id, value, at FROM h JOIN documents d USING (doc_id) WHERE (at = 1 OR NOT regexp_matches(substr(text, at - 1, 1), '[\\pL\\pN_]')) AND (at + length(value) > length(text) OR NOT regexp_matches(substr(text, at + length(value), 1), '[\\pL\\pN_]')))
+    h AS (SELECT d.doc_id, v.value, unnest(list_filter(range(1, length(d.text) - length(v.value) + 2), lambda p: substr(d.text, p, length(v.value)) = v.value)) AS p0 FROM documents d JOIN v ON contains(d.text, v.value)),
+    f AS (SELECT h.doc_id, value, p0 FROM h JOIN documents d USING (doc_id) WHERE (p0 = 1 OR NOT regexp_matches(substr(text, p0 - 1, 1), '[\\pL\\pN_]')) AND (p0 + length(value) > length(text) OR NOT regexp_matches(substr(text, p0 + length(value), 1), '[\\pL\\pN_]')))
     SELECT doc_id, CASE WHEN NOT regexp_matches(value, '\\pL') THEN 'numeric' ELSE 'leak' END AS kind, count(*) AS hits FROM f GROUP BY ALL""")
 def leak_scan(spark, d):
     docs = table(spark, d, "documents")
