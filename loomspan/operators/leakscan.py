@@ -1,11 +1,11 @@
-"""Scan of artifacts for sensitive strings: an inverted prefix join instead of a product of strings and texts."""
+"""Scan of artifacts for sensitive strings: an inverted join on rare tokens instead of a product of strings and texts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import WORD_CHARACTER, at_boundary, let, regex_spans
+from ..functions.spans import WORD_CHARACTER, at_boundary
 
 MIN_LENGTH = 6
 TEXT_PREFIX = 40
@@ -30,38 +30,49 @@ def vocabulary(sources: DataFrame, text_col: str = "content") -> DataFrame:
     return sources.select(F.explode(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
 
 
+TOKENS = f"{WORD_CHARACTER}+|[^{WORD_CHARACTER[1:-1]}]"  # runs of word characters, and every other character by itself
+
+
+def probe_tokens(values: DataFrame) -> DataFrame:
+    """value, token: the rarest run of word characters in each value (rarest among the values), or its rarest character if it has no run.
+
+    A whole-token occurrence has boundaries at both ends, so every run of the value is a whole run of the text.
+    """
+    each = values.select("value", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(TOKENS), F.lit(0)))).alias("token"))
+    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.struct((~F.col("token").rlike(WORD_CHARACTER)).alias("mark"), F.col("n"), (-F.length("token")).alias("short"), F.col("token"))
+    return each.join(common, "token").groupBy("value").agg(F.min(rank).alias("r")).select("value", F.col("r.token").alias("token"))
+
+
 def leaks(artifacts: DataFrame, values: DataFrame, words: DataFrame | None = None, id_col: str = "artifact", content_col: str = "content") -> DataFrame:
     """Whole-token occurrences: artifact, offset, length, kind (numeric, template_vocabulary, leak).
 
-    Only positions after a boundary leave a text, keyed by their first six characters, and join the values on that prefix; the
-    rest of the value is compared at the position. The artifact's content travels once, not once per position: matches are
-    verified on a slice as long as the longest value of the prefix needs.
+    The distinct tokens of every text join the values on one rare token each; only the texts and values that meet are then searched
+    for all occurrences, overlapping ones included.
     """
-    keyed = values.select("value", F.substring("value", 1, MIN_LENGTH).alias("prefix"), F.length("value").alias("n")).distinct()
-    longest = keyed.agg(F.max("n")).first()[0]
-    if longest is None:
-        return artifacts.select(F.col(id_col), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit("").alias("kind")).limit(0)
-    content = F.col(content_col)
-    # runs of word characters and single other characters: a position follows a boundary if the token before it is no run
-    pieces = regex_spans(content, f"{WORD_CHARACTER}+|[^{WORD_CHARACTER[1:-1]}]")
-    joined = lambda t, i, n: F.substring(F.array_join(F.slice(t, i + 1, n), ""), 1, n)
-
-    def at_starts(spans):
-        def cut(tokens):
-            free = F.filter(F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"))), lambda m: (m["i"] == 0) | ~F.get(tokens, m["i"] - 1).rlike(WORD_CHARACTER))
-            return F.transform(free, lambda m: F.struct(m["start"].alias("start"), joined(tokens, m["i"], MIN_LENGTH).alias("prefix"), joined(tokens, m["i"], int(longest) + 1).alias("slice")))
-
-        return let(F.transform(spans, lambda s: s["value"]), cut)
-
-    slices = artifacts.where(F.length(content) >= MIN_LENGTH).select(id_col, F.explode(let(pieces, at_starts)).alias("s")).select(id_col, "s.*")
-    side = F.broadcast(keyed) if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keyed
-    hit = slices.join(side, "prefix").where(F.col("slice").startswith(F.col("value")) & at_boundary(F.col("slice"), F.col("n") + 1))
-    found = hit.select(id_col, F.col("start").cast("long").alias("offset"), F.col("n").cast("long").alias("length"), "value")
+    keys = probe_tokens(values.select("value").where(F.length("value") >= MIN_LENGTH).distinct())
+    side = F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+    texts = artifacts.select(F.col(id_col), F.col(content_col).alias("__text")).where(F.length("__text") >= MIN_LENGTH)
+    seen = texts.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(TOKENS), F.lit(0)))).alias("token"))
+    pairs = seen.join(side, "token").select(id_col, "value")
+    quoted = F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pieces = F.split(F.col("__text"), F.concat(F.lit("(?="), quoted, F.lit(")")), -1)  # cut before every occurrence; never before the first character
+    lengths = F.transform(pieces, lambda x: F.length(x))
+    found = pairs.join(texts, id_col).where(F.contains("__text", "value")).withColumn("__lengths", lengths).select(id_col, "value", "__text", F.explode(F.when(F.col("__text").startswith(F.col("value")), F.concat(F.array(F.lit(0)), cumulative("__lengths"))).otherwise(cumulative("__lengths"))).alias("start"))
+    whole = found.where(at_boundary(F.col("__text"), F.col("start")) & at_boundary(F.col("__text"), F.col("start") + F.length("value") + 1))
+    found = whole.select(id_col, F.col("start").cast("long").alias("offset"), F.length("value").cast("long").alias("length"), "value")
     if words is None:
         return found.select(id_col, "offset", "length", hit_kind(F.col("value"), F.lit(False)).alias("kind"))
     return classified(found, words, id_col)
 
 
+def cumulative(lengths: str) -> Column:
+    """Sums of all proper prefixes of an array of lengths."""
+    step = lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + v)).alias("out"))
+    zero = F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("out"))
+    return F.aggregate(F.slice(lengths, 1, F.size(lengths) - 1), zero, step, lambda acc: acc["out"])
+
+
 def hit_kind(value: Column, all_known: Column) -> Column:
     template = all_known & ~value.rlike("[^A-Za-z0-9_ ]")
     return F.when(~value.rlike(r"\p{L}"), "numeric").when(template, "template_vocabulary").otherwise("leak")
