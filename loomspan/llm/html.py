@@ -162,9 +162,8 @@ class Page:
             if self.blank and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.blank = False
-            self.line = self.indent + self.marker
-            if self.marker:
-                self.marker = ""
+            self.line = (self.indent[:-2] if self.marker else self.indent) + self.marker
+            self.marker = ""
         self.line += s
 
     def newline(self, keep: bool = False) -> None:
@@ -236,8 +235,7 @@ def render(node: Node, depth: int = 0) -> str:
                     lists[-1][1] += 1
                 else:
                     page.marker = "- "
-                page.marker, page.indent = page.marker, page.indent + "  "
-                page.indent = page.indent[:200]
+                page.indent += "  "
             elif tag in ("dd", "blockquote"):
                 page.indent += "  "
             work.append(("close", x, pre, 0))
