@@ -246,19 +246,19 @@ def test_toxicity_frame(spark):
 def brute_decode(token, model):
     """All paths of a lattice of plain substitutions."""
     options = [[c] if c.isalpha() else list(toxicity.LEET.get(c, "")) for c in token]
-    best = None
+    best = (math.inf, "")
     import itertools
 
     for path in itertools.product(*options):
         cost = sum(toxicity.SUBSTITUTE for c in token if not c.isalpha())
         s = toxicity.EDGE + "".join(path) + toxicity.EDGE
         cost += sum(model.cost(a, b) for a, b in zip(s, s[1:]))
-        best = min(best or (cost, ""), (cost, "".join(path)))
+        best = min(best, (cost, "".join(path)))
     return best[1]
 
 
 def test_viterbi_equals_all_paths():
-    model = toxicity.CharModel(Counter(WORDS))
+    model = toxicity.CharModel([Counter(WORDS)])
     for token in ("l1br3", "d0l0r", "t3mp0r", "m1n1m"):
         assert toxicity.decode(token, model) == brute_decode(token, model)
 
@@ -427,7 +427,7 @@ def test_quality_frame(spark):
 
 
 def slow_adpcm(block):
-    p, i = int.from_bytes(block[:2], "little", signed=True), block[2]
+    p, i = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
     out = [p]
     for b in block[4:]:
         for nib in (b & 15, b >> 4):
@@ -444,8 +444,8 @@ def slow_adpcm(block):
 
 def test_telephony_decoding():
     rnd = np.random.default_rng(0)
-    blocks = rnd.integers(0, 256, (5, 40), np.uint8)
-    assert media.decode_adpcm(blocks).tolist() == [slow_adpcm(bytes(b)) for b in blocks]
+    blocks = rnd.integers(0, 256, (5, 40)).astype(np.uint8)
+    assert media.decode_adpcm(blocks).tolist() == [slow_adpcm(b.tobytes()) for b in blocks]
     assert (media.TABLES[media.MULAW][0xFF], media.TABLES[media.MULAW][0x00], media.TABLES[media.MULAW][0x80]) == (0, -32124, 32124)
     assert (media.TABLES[media.ALAW][0xD5], media.TABLES[media.ALAW][0x55], media.TABLES[media.ALAW][0xAA]) == (8, -8, 32256)
     payload = media.pad(bytes(range(256)) * 9)
