@@ -73,20 +73,30 @@ def features(text: bytes) -> np.ndarray:
     return x
 
 
+def singular_vectors(x: np.ndarray, dim: int, rounds: int = 6, spare: int = 16) -> np.ndarray:
+    """Leading right singular vectors by subspace iteration from a fixed start: linear in the size of ``x``."""
+    q = np.random.default_rng(0).standard_normal((x.shape[1], min(dim + spare, *x.shape))).astype(np.float32)
+    for _ in range(rounds):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, v = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ v.T)[:, :dim].astype(np.float32)
+
+
 class Space:
     """Latent space and labelled vectors of a fit."""
 
     def __init__(self, texts: list[bytes], labels: list[int], dim: int = DIM, neighbours: int = NEIGHBOURS):
         self.neighbours = neighbours
         self.prior = (sum(labels) + 1) / (len(labels) + 2)
-        x = np.vstack([features(t) for t in texts]) if texts else np.zeros((1, N_FEATURES), np.float32)
+        x = np.zeros((max(1, len(texts)), N_FEATURES), np.float32)  # filled and weighted in place: one such matrix is what a fit holds
+        for i, t in enumerate(texts):
+            x[i] = features(t)
         df = np.count_nonzero(x, axis=0)
         self.idf = np.log((1 + len(x)) / (1 + df)).astype(np.float32) + 1
         self.idf[K * K :] = 4
-        x = self._weigh(x)
-        # right singular vectors through the Gram matrix of the features
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.basis = vectors[:, ::-1][:, : min(dim, x.shape[1])].astype(np.float32)
+        for k in range(0, len(x), DOC_BLOCK):
+            x[k : k + DOC_BLOCK] = self._weigh(x[k : k + DOC_BLOCK])
+        self.basis = singular_vectors(x, min(dim, *x.shape))
         self.vectors = self._unit(x @ self.basis) if texts else np.zeros((0, self.basis.shape[1]), np.float32)
         self.labels = np.array(labels, np.float32)
 
