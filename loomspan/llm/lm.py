@@ -224,6 +224,19 @@ def expected_pieces(words: DataFrame, lattice: Lattice) -> np.ndarray:
     return total
 
 
+def most_frequent(words: DataFrame, head: int) -> DataFrame:
+    """At most ``head`` words, all those above some count: found by a histogram of counts (a sixteenth of an octave wide) without sorting words."""
+    octave = F.floor(F.log2(F.col("all").cast("double")) * 16).cast("long")
+    sizes = words.groupBy(octave.alias("octave")).agg(F.count(F.lit(1)).alias("n")).collect()
+    room, least = head, 1 << 40
+    for r in sorted(sizes, key=lambda r: -r["octave"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["octave"]
+    return words.where(octave >= least)
+
+
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = MODULUS, remainder: int = HELD_OUT, vocabulary: str = VOCABULARY, head: int = HEAD) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
@@ -255,7 +268,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     words = materialise(map_partitions(counted.where(F.octet_length("word") > 0).select("word", "c", "all"), marginals, "word binary, c long, all long, marginal double"))
     denominator = N + 1 * (V + 1)
-    common = words.orderBy(F.col("all").desc(), "word").limit(head).select("word", "c", "marginal").toArrow()
+    common = most_frequent(words, head).select("word", "c", "marginal").toArrow()
     frequent = spark.sparkContext.broadcast((common["word"].to_pylist(), np.array(common["c"].to_pylist(), np.int64), np.array(common["marginal"].to_pylist(), np.float64)))
     end_known, end_base = int(ends > 0), math.log10((ends + 1) / denominator)
 
