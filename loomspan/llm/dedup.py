@@ -8,7 +8,7 @@
    common passages out of them.
 3. First round: in every list the node with the most common values is the pivot and all others are compared with it.
    Second round: what is still in different components is compared pair by pair, each pair at its first common value, unless the
-   share of hashes that nobody else has already rules the pair out. Components shrink the large groups of near copies
+   share of hashes that nobody else has, or in long lists the differences of both to the majority of its group, already rule the pair out. Components shrink the large groups of near copies
    before any pair is listed, and no list is capped.
 4. Pairs pass the union-sketch estimate and are then confirmed on the full sets.
 5. Components by minimum labels with pointer jumping, distributed; nothing but counts reaches the driver.
@@ -29,6 +29,7 @@ from .common import map_batches, map_partitions, materialise, table, text_of
 SHINGLE, PERCENT = 3, 85
 INDEX, SKETCH = 48, 160
 SIGMAS = 5.0
+LONG_LIST = 64  # from here on a list's pairs are also bounded through the majority set of its pivot's group
 BROADCAST_NODES = 1_000_000  # ids shipped to filter the documents that full sets are built from (8 bytes each)
 WORD_CACHE = 300_000
 
@@ -162,6 +163,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def differences(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """How every member (node, pivot) differs from its group's majority set, the hashes that more than half of the group have.
+
+    more: hashes outside the majority set, odd: those of them that another member has too, less: hashes of the majority set that are lacking.
+    Two members differ by at least more + more - 2 * (odd in common) + the difference of less, whatever the majority set is.
+    """
+    each = members.join(nodes.select("node", "sketch"), "node").select("pivot", "node", F.explode("sketch").alias("v"))
+    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
+    counts = each.groupBy("pivot", "v").agg(F.count(F.lit(1)).alias("c")).join(sizes, "pivot").withColumn("major", 2 * F.col("c") > F.col("members"))
+    counts = materialise(counts.select("pivot", "v", "c", "major"))
+    majority = counts.where("major").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+    marked = each.join(counts.where("c > 1"), ["pivot", "v"], "left")
+    per = marked.groupBy("pivot", "node").agg(
+        F.count_if(~F.coalesce("major", F.lit(False))).alias("more"), F.count_if(F.coalesce("major", F.lit(False))).alias("have"),
+        F.collect_list(F.when((F.col("c") > 1) & ~F.col("major"), F.col("v"))).alias("odd"),
+    )
+    return per.join(majority, "pivot", "left").select("node", "pivot", "more", "odd", (F.coalesce("size", F.lit(0)) - F.col("have")).alias("less"))
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver forget finished shuffles, so that executors delete their files."""
     gc.collect()
@@ -196,6 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similar_size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     postings = lists.select("node", "n", "common", F.explode("prefix").alias("value"))
     pivots = postings.groupBy("value").agg(F.max(F.struct("common", "node", "n")).alias("pivot"), F.count(F.lit(1)).alias("length")).where("length > 1")
+    pivots = materialise(pivots)
     stars = postings.join(pivots, "value").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b")).where((F.col("a") != F.col("b")) & similar_size).select("a", "b").distinct()
     passed = materialise(estimate(with_sketches(stars), p))
     # of the pairs that need full sets, every node's closest; the second round sees the others again
@@ -206,19 +227,30 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # second round: pairs in different components
     comp = lists.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
-    posted = comp.select("node", "label", F.explode("prefix").alias("value"))
+    posted = comp.select("node", "n", "label", F.explode("prefix").alias("value"))
     open_values = posted.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    still = materialise(comp.select("node", "n", "label", "prefix", F.explode("prefix").alias("value")).join(open_values, "value"))
+    group = F.when(F.col("length") > LONG_LIST, F.col("pivot.node")).alias("pivot")
+    open_values = open_values.join(pivots, "value").select("value", group)
+    still = materialise(posted.join(open_values, "value").select("value", "node", "n", "pivot"))
+    concerned = comp.join(still.select("node").distinct(), "node", "left_semi")
     own = nodes.join(still.select("node").distinct(), "node", "left_semi").select("node", F.explode("sketch").alias("v"))
     lonely = own.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c = 1"), "v", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("lonely"))
-    still = materialise(still.join(lonely, "node", "left").select("node", "n", "label", "prefix", "value", (F.coalesce("lonely", F.lit(0)) / F.least("n", F.lit(SKETCH))).alias("alone")))
-    left = still.select("value", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "prefix", "alone")))
-    right = still.select("value", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "label", "prefix", "alone")))
+    facts = materialise(concerned.join(lonely, "node", "left").select("node", "n", "label", "prefix", (F.coalesce("lonely", F.lit(0)) / F.least("n", F.lit(SKETCH))).alias("alone")))
+    members = still.where(F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)).select("node", "pivot").distinct()
+    still = still.select("value", "node", "pivot").join(differences(members, nodes), ["node", "pivot"], "left").join(facts, "node")
+    columns = ("node", "n", "label", "prefix", "alone", "more", "less", "odd")
+    still = materialise(still.select("value", *columns))
+    release(spark)
+    left = still.select("value", *(F.col(c).alias(f"{c}_a") for c in columns))
+    right = still.select("value", *(F.col(c).alias(f"{c}_b") for c in columns))
     slack = F.when(F.greatest("n_a", "n_b") <= SKETCH, F.lit(0.0)).otherwise(_deviation(SKETCH, F.greatest("n_a", "n_b").cast("double"), p) / SKETCH)
     # I common hashes and lonely ones in the union: I / (I + lonely) >= p, with I at most what is not lonely
     possible = F.col("alone_a") + F.col("alone_b") <= (1 / p - 1) * (1 - F.greatest("alone_a", "alone_b")) + slack + 1e-9
+    # hashes that differ for certain: additions not in common, and the difference of what is lacking
+    differing = F.col("more_a") + F.col("more_b") - 2 * F.size(F.array_intersect("odd_a", "odd_b")) + F.abs(F.col("less_a") - F.col("less_b"))
+    near = F.col("more_a").isNull() | F.col("more_b").isNull() | (differing <= (1 - p) / (1 + p) * (F.col("n_a") + F.col("n_b")) + 1e-9)
     first_common = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == left["value"]
-    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & similar_size & possible & first_common)
+    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & similar_size & possible & near & first_common)
     passed = materialise(estimate(with_sketches(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), p))
     more = passed.where("certain").select("a", "b").union(confirm(passed.where("not certain").select("a", "b"), df, nodes, id_col, text_col, shingle, percent))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
