@@ -173,6 +173,7 @@ def differences(members: DataFrame, nodes: DataFrame) -> DataFrame:
     sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
     counts = each.groupBy("pivot", "v").agg(F.count(F.lit(1)).alias("c")).join(sizes, "pivot").withColumn("major", 2 * F.col("c") > F.col("members"))
     counts = materialise(counts.select("pivot", "v", "c", "major"))
+    release(members.sparkSession)
     majority = counts.where("major").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
     marked = each.join(counts.where("c > 1"), ["pivot", "v"], "left")
     per = marked.groupBy("pivot", "node").agg(
@@ -232,10 +233,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     group = F.when(F.col("length") > LONG_LIST, F.col("pivot.node")).alias("pivot")
     open_values = open_values.join(pivots, "value").select("value", group)
     still = materialise(posted.join(open_values, "value").select("value", "node", "n", "pivot"))
+    release(spark)
     concerned = comp.join(still.select("node").distinct(), "node", "left_semi")
     own = nodes.join(still.select("node").distinct(), "node", "left_semi").select("node", F.explode("sketch").alias("v"))
     lonely = own.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c = 1"), "v", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("lonely"))
     facts = materialise(concerned.join(lonely, "node", "left").select("node", "n", "label", "prefix", (F.coalesce("lonely", F.lit(0)) / F.least("n", F.lit(SKETCH))).alias("alone")))
+    release(spark)
     members = still.where(F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)).select("node", "pivot").distinct()
     still = still.select("value", "node", "pivot").join(differences(members, nodes), ["node", "pivot"], "left").join(facts, "node")
     columns = ("node", "n", "label", "prefix", "alone", "more", "less", "odd")
