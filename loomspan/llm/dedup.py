@@ -8,7 +8,7 @@
    common passages out of them.
 3. First round: in every list the node with the most common values is the pivot and all others are compared with it.
    Second round: what is still in different components is compared pair by pair, each pair at its first common value, unless the
-   share of hashes that nobody else has, or in long lists the differences of both to the majority of its group, already rule the pair out. Components shrink the large groups of near copies
+   number of hashes that nobody else has (of those below both sketches' ends), or in long lists the differences of both to the majority of its group, already rule the pair out. Components shrink the large groups of near copies
    before any pair is listed, and no list is capped.
 4. Pairs pass the union-sketch estimate and are then confirmed on the full sets.
 5. Components by minimum labels with pointer jumping, distributed; nothing but counts reaches the driver.
@@ -183,6 +183,24 @@ def differences(members: DataFrame, nodes: DataFrame) -> DataFrame:
     return per.join(majority, "pivot", "left").select("node", "pivot", "more", "odd", (F.coalesce("size", F.lit(0)) - F.col("have")).alias("less"))
 
 
+def upper(v):
+    """Upper half of a hash, half the size and in the same order."""
+    return F.shiftright(v, 32).cast("int")
+
+
+def possible(p: float):
+    """Whether lonely hashes (alone, far) leave room for similarity p: I / (I + lonely) >= p, with I at most what is not lonely.
+
+    Sets that their sketches hold whole: by counts, exact. Otherwise a hash that no other sketch has is known to be lacking in the other set only below
+    the ends of both sketches; there neither set has more than SKETCH hashes, and what passes ``estimate`` with its slack passes here.
+    """
+    counted = F.col("alone_a") + F.col("alone_b") <= (1 / p - 1) * F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b")) + 1e-9
+    below = lambda c: F.coalesce(F.size(F.filter(c, lambda v: v < F.least("end_a", "end_b"))), F.lit(0))
+    least = p - _deviation(SKETCH, F.greatest("n_a", "n_b").cast("double"), p) / SKETCH
+    sampled = below("far_a") + below("far_b") <= (1 / least - 1) * (SKETCH - F.greatest(below("far_a"), below("far_b"))) + 1e-9
+    return F.when(F.greatest("n_a", "n_b") <= SKETCH, counted).otherwise(sampled)
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver forget finished shuffles, so that executors delete their files."""
     gc.collect()
@@ -235,25 +253,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     still = materialise(posted.join(open_values, "value").select("value", "node", "n", "pivot"))
     release(spark)
     concerned = comp.join(still.select("node").distinct(), "node", "left_semi")
-    own = nodes.join(still.select("node").distinct(), "node", "left_semi").select("node", F.explode("sketch").alias("v"))
-    lonely = own.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c = 1"), "v", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("lonely"))
-    facts = materialise(concerned.join(lonely, "node", "left").select("node", "n", "label", "prefix", (F.coalesce("lonely", F.lit(0)) / F.least("n", F.lit(SKETCH))).alias("alone")))
+    sketched = nodes.join(still.select("node").distinct(), "node", "left_semi")
+    own = sketched.select("node", (F.col("n") > SKETCH).alias("long"), F.explode("sketch").alias("v"))
+    lonely = own.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c = 1"), "v", "left_semi").groupBy("node").agg(
+        F.count(F.lit(1)).alias("alone"), F.collect_list(F.when(F.col("long"), upper(F.col("v")))).alias("far")
+    )
+    ends = sketched.where(F.col("n") > SKETCH).select("node", upper(F.element_at("sketch", -1)).alias("end"))
+    facts = concerned.join(lonely, "node", "left").join(ends, "node", "left")
+    facts = materialise(facts.select("node", "n", "label", "prefix", F.coalesce("alone", F.lit(0)).alias("alone"), "far", "end"))
     release(spark)
     members = still.where(F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)).select("node", "pivot").distinct()
     still = still.select("value", "node", "pivot").join(differences(members, nodes), ["node", "pivot"], "left").join(facts, "node")
-    columns = ("node", "n", "label", "prefix", "alone", "more", "less", "odd")
+    columns = ("node", "n", "label", "prefix", "alone", "far", "end", "more", "less", "odd")
     still = materialise(still.select("value", *columns))
     release(spark)
     left = still.select("value", *(F.col(c).alias(f"{c}_a") for c in columns))
     right = still.select("value", *(F.col(c).alias(f"{c}_b") for c in columns))
-    slack = F.when(F.greatest("n_a", "n_b") <= SKETCH, F.lit(0.0)).otherwise(_deviation(SKETCH, F.greatest("n_a", "n_b").cast("double"), p) / SKETCH)
-    # I common hashes and lonely ones in the union: I / (I + lonely) >= p, with I at most what is not lonely
-    possible = F.col("alone_a") + F.col("alone_b") <= (1 / p - 1) * (1 - F.greatest("alone_a", "alone_b")) + slack + 1e-9
     # hashes that differ for certain: additions not in common, and the difference of what is lacking
     differing = F.col("more_a") + F.col("more_b") - 2 * F.size(F.array_intersect("odd_a", "odd_b")) + F.abs(F.col("less_a") - F.col("less_b"))
     near = F.col("more_a").isNull() | F.col("more_b").isNull() | (differing <= (1 - p) / (1 + p) * (F.col("n_a") + F.col("n_b")) + 1e-9)
     first_common = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == left["value"]
-    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & similar_size & possible & near & first_common)
+    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & similar_size & possible(p) & near & first_common)
     passed = materialise(estimate(with_sketches(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), p))
     more = passed.where("certain").select("a", "b").union(confirm(passed.where("not certain").select("a", "b"), df, nodes, id_col, text_col, shingle, percent))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))

@@ -150,6 +150,25 @@ def test_near_duplicates_equal_brute_force(spark, size, percent):
     assert all(got[i].kept == (want[i] == i) for i in range(len(texts)))
 
 
+@pytest.mark.parametrize("size, percent, cases", [(3, 85, [(120, 141), (150, 176), (170, 200), (170, 195), (176, 200), (250, 290), (1000, 1150)]), (5, 80, [(130, 162), (170, 210), (400, 490)])])
+def test_near_duplicates_of_unequal_size_in_round_two(spark, monkeypatch, size, percent, cases):
+    estimate, calls = dedup.estimate, []
+
+    def second_round_only(pairs, p):
+        calls.append(p)
+        return estimate(pairs, p) if len(calls) > 1 else estimate(pairs, p).where("false")
+
+    monkeypatch.setattr(dedup, "estimate", second_round_only)
+    texts = []
+    for c, (small, large) in enumerate(cases * 4):
+        words = [f"a{c}x{i}" for i in range(large + size - 1)]
+        texts += [" ".join(words[: small + size - 1]), " ".join(words)]
+    want, sizes = brute_components(texts, size, percent)
+    assert want == [i - i % 2 for i in range(len(texts))] and sizes[:2] == list(cases[0])
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(frame(spark, texts), shingle=size, percent=percent).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(calls) == 2
+
+
 def test_near_duplicates_edges(spark):
     df = frame(spark, ["same words here again", "same words here again"]).withColumn("doc_id", F.lit(None).cast("long"))
     assert [(r.component_id, r.kept) for r in dedup.near_duplicates(df).collect()] == [(None, False)] * 2
