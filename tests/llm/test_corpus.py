@@ -257,6 +257,19 @@ def test_toxicity_restores_obfuscated_words():
         assert s.score(good) < 0.3, good
 
 
+def test_toxicity_decodes_long_tokens_and_runs_in_full():
+    s, rnd = toxic_scorer(), random.Random(9)
+    words = lambda n: [rnd.choice(WORDS) for _ in range(n)]
+    for bad in ("stupid", "moron"):
+        for spoken in (
+            " ".join("".join([*words(20), bad, *words(20)])), "-".join([*words(9), bad, *words(9)]), bad[:2] + bad[2] * 60 + bad[3:], "0".join([*words(9), bad, *words(9)]),
+            "_".join([*words(9), bad.replace("o", "0").replace("i", "1"), *words(900)]), " ".join("you" + bad),
+        ):
+            assert s.score(f"lorem ipsum {spoken} dolor") > 0.7, spoken
+    for good in (" ".join("".join(words(60))), "-".join(words(30)), "x" * 200_000, "ab" * 20_000, "".join(rnd.choice("0123456789abcdef") for _ in range(5000)), "a b " * 5000):
+        assert s.score(f"lorem ipsum {good} dolor") < 0.3, good[:80]
+
+
 def test_toxicity_frame(spark):
     rows = toxicity.toxicity(frame(spark, [*ODD, "moron"]), toxic_scorer()).collect()
     assert len(rows) == 10 and all(0 <= r.score <= 1 for r in rows)
