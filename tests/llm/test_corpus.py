@@ -270,6 +270,11 @@ def test_toxicity_decodes_long_tokens_and_runs_in_full():
         assert s.score(f"lorem ipsum {good} dolor") < 0.3, good[:80]
 
 
+def test_character_model_counts_all_fit_rows():
+    s = toxicity.Scorer(["lorem ipsum"] * 2500 + ["żółw"], [0] * 2501)
+    assert {"ż", "ó", "ł"} <= s.lm.single.keys()
+
+
 def test_toxicity_frame(spark):
     rows = toxicity.toxicity(frame(spark, [*ODD, "moron"]), toxic_scorer()).collect()
     assert len(rows) == 10 and all(0 <= r.score <= 1 for r in rows)
