@@ -28,6 +28,13 @@ IMPLIED = {
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
 }
+TABLE_PARTS = frozenset("table colgroup tbody thead tfoot tr".split())
+#: table elements and the parents, within the table, that they go into
+TABLE_PARENTS = {
+    "td": {"tr"}, "th": {"tr"}, "tr": {"tbody", "thead", "tfoot", "table"}, "col": {"colgroup", "table"},
+    "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}, "colgroup": {"table"}, "caption": {"table"},
+}
+STAYS_IN_TABLE = TABLE_PARENTS.keys() | {"style", "script", "template", "form"}
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
@@ -50,13 +57,13 @@ def parse(html: str) -> Node:
     while pos < n:
         lt = html.find("<", pos)
         if lt < 0:
-            stack[-1].children.append(unescape(html[pos:]))
+            insert(stack, unescape(html[pos:]))
             break
         if lt > pos:
-            stack[-1].children.append(unescape(html[pos:lt]))
+            insert(stack, unescape(html[pos:lt]))
         m = TOKEN.match(html, lt)
         if not m:
-            stack[-1].children.append("<")
+            insert(stack, "<")
             pos = lt + 1
             continue
         pos = m.end()
@@ -66,8 +73,9 @@ def parse(html: str) -> Node:
             attrs = {k.lower(): unescape(a or b or c or "") for k, a, b, c in reversed(ATTRIBUTE.findall(raw))} if raw and not raw.isspace() else {}
             open_tag(stack, tag)
             node = Node(tag, attrs)
-            stack[-1].children.append(node)
-            if tag in VOID:
+            in_table = stack[-1].tag in TABLE_PARTS
+            insert(stack, node)
+            if tag in VOID or (tag == "form" and in_table):
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I).search(html, pos)
@@ -102,11 +110,48 @@ def open_tag(stack: list[Node], tag: str) -> None:
                 cut = i
         if cut is not None:
             del stack[cut:]
+    if tag in TABLE_PARENTS:
+        table_context(stack, tag)
+    elif tag == "table" and stack[-1].tag in TABLE_PARTS:
+        close_tag(stack, "table")
+
+
+def table_context(stack: list[Node], tag: str) -> None:
+    """Close what stands between a table element and its parent; a cell outside a row gets a row."""
+    place = None
+    for i in range(len(stack) - 1, 0, -1):
+        if place is None and stack[i].tag in TABLE_PARENTS[tag]:
+            place = i
+        if stack[i].tag == "table":
+            break
+    else:
+        return
+    if place is None:
+        table_context(stack, "tr")
+        row = Node("tr")
+        stack[-1].children.append(row)
+        stack.append(row)
+    else:
+        del stack[place + 1 :]
+
+
+def insert(stack: list[Node], child: Node | str) -> None:
+    """Append to the open element; what is no part of a table but stands between its parts goes before the table."""
+    if stack[-1].tag in TABLE_PARTS and (child.strip() if isinstance(child, str) else child.tag not in STAYS_IN_TABLE):
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == "table":
+                around = stack[i - 1].children
+                at = len(around) - 1
+                while at >= 0 and around[at] is not stack[i]:
+                    at -= 1
+                around.insert(at if at >= 0 else len(around), child)
+                return
+    stack[-1].children.append(child)
 
 
 def close_tag(stack: list[Node], tag: str) -> None:
     if tag == "br":
-        stack[-1].children.append(Node("br"))
+        insert(stack, Node("br"))
         return
     barrier = {"table"} if tag not in ("table", "body", "html") else set()
     if tag in ("b", "i", "em", "strong", "a", "span", "font", "u", "small", "code"):
@@ -269,8 +314,6 @@ def render_table(node: Node, depth: int) -> str:
                 text = render(c, depth + 1) if depth < 12 else SPACES.sub(" ", flat_text(c)).strip()
                 cells += [text] + [""] * (min(int(span), 50) - 1 if span.isdigit() and 0 < int(span[:4]) else 0)
         grid.append(cells)
-    stray = [c for c in node.children if isinstance(c, str) and c.strip()]
-    out += [SPACES.sub(" ", s).strip() for s in stray]
     if len({len(r) for r in grid}) == 1 and grid and len(grid[0]) == 1:
         return "\n".join(out + [r[0] for r in grid])
     width: dict[int, int] = {}

@@ -415,6 +415,30 @@ def test_html(page, text):
     assert html.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><td>x</td></table>", "x"), ("<table><tr>x<td>y", "x\n\ny"), ("<table><tr><form><td>x</td></form></tr></table>", "x"), ("<table><div>x</div><tr><td>y</td></tr></table>z", "x\n\ny\n\nz"),
+    ("<table><tbody>x", "x"), ("<table><tr><table><tr><td>x</table>", "x"), ("<table><tbody><table><td>x</table>y", "x\n\ny"), ("<table><td>a<td>b<tr><td>c<td>d</table>", "a  b\nc  d"),
+    ("<table><colgroup><col>x<tr><td>y</table>", "x\n\ny"), ("<table><caption>t<tr><td>a<td>b</table>", "t\na  b"), ("<table><tr><td>a</td>x<td>b</td></tr></table>", "x\n\na  b"),
+    ("<table><tr><b>x<td>a</table>", "x\n\na"), ("<table><tr><td><table><b>x</b><td>y</table>z</table>", "x\n\ny\n\nz"),
+])
+def test_html_table_text_outside_cells(page, text):
+    assert html.html_to_text(page) == text
+
+
+def test_html_loses_no_word_of_random_tables():
+    rnd = random.Random(12)
+    tags = "table tbody thead tr td th caption colgroup form div b p ul li span".split()
+    for _ in range(2000):
+        page, words = "", []
+        for i in range(rnd.randint(1, 25)):
+            page += f"<{rnd.choice(['', '', '/'])}{rnd.choice(tags)}>"
+            if rnd.random() < 0.5:
+                words.append(f"w{i}")
+                page += f" w{i} "
+        assert sorted(re.findall(r"w\d+", html.html_to_text(page))) == sorted(words), page
+    assert html.html_to_text("<table><tr><td>" * 300 + "deep") == "deep"
+
+
 def test_html_keeps_all_visible_words_and_survives_depth(spark):
     assert html.html_to_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert html.html_to_text("<table><tr><td>" * 60 + "deep") == "deep"
