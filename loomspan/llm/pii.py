@@ -88,6 +88,7 @@ N_SYMBOLS = OTHER + 1  # 0 pads
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of every kind
 EMBED, HIDDEN = 10, 14
 WINDOW, STRIDE, MARGIN = 96, 48, 40
+LONGEST = 254  # characters of an address
 TRAIN_STEPS, TRAIN_BATCH, TRAIN_LENGTH, SEED = 320, 32, 72, 20
 MIN_PROBABILITY = 0.2
 
@@ -298,15 +299,33 @@ def viterbi(em: np.ndarray, T: np.ndarray, lengths: np.ndarray) -> list[np.ndarr
     return out
 
 
+LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[\])]? ?[A-Za-z0-9-]+(?: ?[\[(]?\.[\])]? ?[A-Za-z0-9-]+)*")
+
+
+def address_around(text: str, first: int, last: int) -> tuple[int, int]:
+    """Range that an address with its @ from ``first`` to ``last`` may cover, within LONGEST characters either side."""
+    head = text[max(0, first - LONGEST) : first]
+    head = head[:-1] if head.endswith(("[", "(")) else head
+    head = head[:-1] if head.endswith(" ") else head
+    start = max(0, first - LONGEST) + len(head.rstrip(LOCAL))
+    host = HOST.match(text, last + 1, last + 1 + LONGEST)
+    return start, host.end() if host else last + 1
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged ranges within MARGIN of a digit or @: every possible span lies in one with its context."""
+    """Merged ranges within MARGIN of a digit or @, or of an address that reaches further: every possible span lies in one with its context."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        s, e = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and s <= out[-1][1]:
-            out[-1][1] = e
-        else:
-            out.append([s, e])
+        s, e = m.start() - MARGIN, m.end() + MARGIN
+        if "@" in m.group():
+            start, end = address_around(text, m.start() + m.group().index("@"), m.start() + m.group().rindex("@"))
+            s, e = start - MARGIN if start <= s else s, end + MARGIN if end >= e else e
+        s, e = max(0, s), min(len(text), e)
+        while out and s <= out[-1][1]:
+            s, e = min(s, out[-1][0]), max(e, out[-1][1])
+            out.pop()
+        out.append([s, e])
     return [tuple(x) for x in out]
 
 
@@ -337,7 +356,7 @@ def emission_stretches(tagger: Tagger, parts: list[str]):
 def valid(kind: int, s: str) -> bool:
     d = only_digits(s)
     if kind == 0:
-        return s.count("@") == 1 and len(s) <= 254 and bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?[\[(]?@[\])]? ?[A-Za-z0-9-]+(?: ?[\[(]?\.[\])]? ?[A-Za-z0-9-]+)*(?: ?[\[(]?\.[\])]? ?[A-Za-z]{2,})", s))
+        return s.count("@") == 1 and len(s) <= LONGEST and bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?[\[(]?@[\])]? ?[A-Za-z0-9-]+(?: ?[\[(]?\.[\])]? ?[A-Za-z0-9-]+)*(?: ?[\[(]?\.[\])]? ?[A-Za-z]{2,})", s))
     if kind == 1:
         m = re.fullmatch(r"([0-9]{1,3})(?: ?[\[(]?\.[\])]? ?([0-9]{1,3}))(?: ?[\[(]?\.[\])]? ?([0-9]{1,3}))(?: ?[\[(]?\.[\])]? ?([0-9]{1,3}))", s)
         return bool(m) and all(int(x) <= 255 for x in m.groups())

@@ -88,6 +88,23 @@ def test_tagger_finds_unusual_spellings_and_leaves_prose_alone():
     assert not any(pii.added_spans(tagger, clean, [pii.base_spans(t) for t in clean]))
 
 
+def test_long_addresses_lie_in_one_stretch():
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    for at in ("@", " @ ", " [@] ", "[@]", "(@)"):
+        for local, host in ((60, 8), (8, 60), (100, 100), (240, 5), (3, 240)):
+            address = word(local) + at + word(host // 2) + " . " + word(host - host // 2) + ".org"
+            text = f"{prose(rnd, 30)} {address} {prose(rnd, 30)} 9 " + "x" * 90
+            start = text.index(address)
+            assert any(s < start and start + len(address) < e for s, e in pii.stretches(text)), text
+    assert pii.stretches("é" * 100 + "@" + " " * 100) == [(60, 141)]
+    assert pii.stretches(("a" * 300 + "@") * 3)[-1][1] == 903
+    tagger = pii.Tagger()
+    tagger.w = pii.trained()
+    for address in ("maria.lopez [@] records . department . university . north . example . org", "maria.lopez.of.the.records.department.of.north @ mail . example . org"):
+        assert pii.added_spans(tagger, [f"please write to {address} today"], [[]]) == [[(16, 0, 16 + len(address))]]
+
+
 def test_windows_reconcile_like_one_long_window():
     tagger = pii.Tagger()
     tagger.w = pii.trained()
