@@ -24,10 +24,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what is linked to a smaller id. Of rows that repeat an id, one stays; rows without an id are no duplicates and stay."""
-    kept = dedup.near_duplicates(docs, shingle=5, percent=80)
-    dropped = materialise(kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Drops what is linked to a smaller id. Of rows that repeat an id, one stays for each group that has the id as its smallest, and
+    one if their texts have no words; rows without an id are no duplicates and stay."""
+    found = dedup.near_duplicates(docs, shingle=5, percent=80, keys=True).where(F.col("doc_id").isNotNull())
+    found = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"), F.collect_set(F.when(F.col("kept"), F.struct("node", "label"))).alias("sets"))
+    found = materialise(found.where("rows > 1 or not kept").select("doc_id", F.when(F.col("rows") > 1, F.col("sets")).alias("sets")))
+    once = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # rows of an id that repeats: the set of each tells whether it is kept and in which group
+    sets = found.where("sets is not null").select(F.col("doc_id").alias("__id"), F.explode("sets").alias("__set")).select("__id", F.col("__set.node").alias("__key"), F.col("__set.label").alias("__label"))
+    repeated = dedup.with_node(docs.join(found.where("sets is not null").select("doc_id"), "doc_id", "left_semi").select(docs.columns), "text", 5)
+    repeated = repeated.join(sets, (F.col("doc_id") == F.col("__id")) & F.col("__node").eqNullSafe(F.col("__key")))
+    row = F.struct(*docs.columns)
+    one = repeated.groupBy("doc_id", "__label").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("__row"))
+    return once.unionByName(one.select("__row.*"))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

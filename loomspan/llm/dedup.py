@@ -20,9 +20,11 @@ import gc
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import map_batches, map_partitions, materialise, table, text_of
 
@@ -207,12 +209,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, keys: bool = False) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links of ``percent`` or more), kept.
 
     Empty texts, texts without words and null texts have an empty set and are their own component. Rows with a null id are linked
     with nothing: component_id null, kept false. Repeated ids share a component if their texts do; all their rows are
-    kept if the id is the smallest. An empty table gives no rows.
+    kept if the id is the smallest. An empty table gives no rows. ``keys`` adds node (key of the row's set) and label (its component's smallest node).
     """
     spark, p = df.sparkSession, percent / 100
     sigs = materialise(signatures(df, id_col, text_col, shingle))
@@ -282,10 +284,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = named.join(smallest, "label").select("node", "component_id")
+    named = named.join(smallest, "label").select("node", "component_id", *(["label"] if keys else []))
     out = sigs.select("id", "node", "n").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), *(["node", "label"] if keys else []))
+
+
+def with_node(df: DataFrame, text_col: str, size: int) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, with __node: the key of the row's set, null if it is empty."""
+    at, target = df.columns.index(text_col), StructType([*df.schema.fields, StructField("__node", LongType())])
+
+    def run(batches):
+        cache: dict = {}
+        for b in batches:
+            sets = [shingle_set((t or "").encode(), size, cache) for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_key(s) if len(s) else None for s in sets], pa.int64())], [*b.schema.names, "__node"])
+
+    return df.mapInArrow(run, target)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

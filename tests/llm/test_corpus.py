@@ -573,6 +573,22 @@ def test_pipeline(spark, tmp_path):
     assert 165 in {r.doc_id for r in state.collect()} and {160} <= {r.doc_id for r in state.collect()}
 
 
+def test_pipeline_keeps_one_of_repeated_rows(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(11)
+    a, b, c, d = (prose(rnd, 60) for _ in range(4))
+    near = " ".join([*a.split()[:-1], "edit"])
+    rows = [(5, a), (5, a), (5, a.upper()), (5, near), (6, a), (5, b), (5, b), (3, c), (5, c), (7, d), (8, ""), (8, ""), (8, None), (9, ""), (None, d), (None, d)]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates_stage(spark, df, "")
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in out.collect())
+    group = [k for k in got if k[0] == 5 and k[1] != b.lower()]
+    assert len(group) == 1 and got.pop(group[0]) == 1 and group[0][1] in (a.lower(), near.lower())
+    assert got == Counter({(5, b.lower()): 1, (3, c.lower()): 1, (7, d.lower()): 1, (8, ""): 1, (9, ""): 1, (None, d.lower()): 2})
+
+
 def test_null_columns_everywhere(spark):
     df = spark.createDataFrame([(None, None, None, None, None, None)] * 3, DOCS)
     assert pii.find_spans(df).count() == 3 and mixing.mix_plan(df).count() == 3 and lm.lm_scores(df).count() == 3
