@@ -19,7 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document scored by neighbours among the labelled ones; scores below a half go."""
+    """Every document scored by neighbours among the labelled ones; those that the classifier rejects go."""
     return quality.filter_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 

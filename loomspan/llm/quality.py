@@ -145,7 +145,7 @@ def classify(df: DataFrame, space: Space, id_col: str = "doc_id", text_col: str
     return map_batches(df.select(F.col(id_col), text_of(text_col).cast("binary")), run, f"{id_col} {kind}, score double")
 
 
-def filter_documents(df: DataFrame, space: Space, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def filter_documents(df: DataFrame, space: Space, text_col: str = "text", least: float = ACCEPT) -> DataFrame:
     """The rows of ``df``, all columns unchanged, whose score is at least ``least``."""
     held = df.sparkSession.sparkContext.broadcast(space)
     import pyarrow as pa

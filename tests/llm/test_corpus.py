@@ -501,6 +501,13 @@ def test_quality_frame(spark):
     assert quality.Space([], []).score([b"abc"]) == [0.5]
 
 
+def test_quality_stage_drops_what_the_classifier_rejects(spark):
+    space = quality.Space([], [])  # scores everything by its prior
+    for score, kept in ((0.4, 0), (0.5, 0), (0.69, 0), (0.7, 2), (1.0, 2)):
+        space.prior = score
+        assert quality.filter_documents(frame(spark, ["lorem ipsum", "dolor"]), space).count() == kept, score
+
+
 # ---- op 10 ------------------------------------------------------------------------------------------------------
 
 
