@@ -1,49 +1,78 @@
-"""Column builders for half-open spans in code points. Nothing here leaves the JVM."""
+"""Column builders for half-open spans in code points.
+
+Offsets of all matches need a scan with state, which the built-in functions cannot express: one Arrow batch function per pattern reads every text once. All else
+stays in the JVM.
+"""
 
 from __future__ import annotations
 
+import functools
+import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
-#: word characters as Python's \w has them, up to a few recent letters
-WORD = r"[\p{L}\p{N}_]+(?:[-_][\p{L}\p{N}_]+)*|\S"
+CHUNK = "array<struct<chunk:int,char_start:int,char_end:int,own_start:int,own_end:int,word_count:int>>"
+#: words as runs of word characters, joined by single hyphens, or any other visible character
+WORD = r"\w+(?:[-_]\w+)*|\S"
 WORD_CHARACTER = r"[\p{L}\p{N}_]"
 TOKEN = r"<PII_([A-Z_]+):[0-9a-f]{32}>"
 
 
-BLOCK = 128
+def nested_array(rows: list[list[tuple] | None], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> pa.Array:
+    """Lists of tuples as an Arrow array of structs; None gives null."""
+    offsets, flat = [0], []
+    for row in rows:
+        flat.extend(row or ())
+        offsets.append(len(flat))
+    columns = list(zip(*flat, strict=True)) if flat else [()] * len(names)
+    items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], list(names))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+@functools.cache
+def span_function(find: Callable[[str], Iterable[tuple[int, int]]]):
+    """A column function from texts to all spans (start, end, value) that ``find`` yields."""
+
+    def scan(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else [(s, e, t[s:e]) for s, e in find(t)] for t in texts.to_pylist()]
+        return nested_array(rows, ("start", "end", "value"), (pa.int32(), pa.int32(), pa.string()))
 
+    return F.arrow_udf(scan, SPAN)
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once; lambda bodies would compute it for every element."""
-    return F.transform(F.array(value), use).getItem(0)
+
+@functools.cache
+def finder(pattern: str) -> Callable[[str], Iterable[tuple[int, int]]]:
+    compiled = re.compile(pattern)
+    return lambda text: ((m.start(), m.end()) for m in compiled.finditer(text) if m.end() > m.start())
 
 
 def regex_spans(text: Column, pattern: str) -> Column:
-    """All matches of a pattern without empty matches, as (start, end, value). Offsets come from the lengths of gaps and matches.
+    """All matches of a pattern without empty matches, as (start, end, value): one scan per text. Null texts give null."""
+    return span_function(finder(pattern))(text)
 
-    Matches are folded in blocks and the blocks' lengths afterwards, so that long texts cost little more than their matches.
-    """
-    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("g"), h.alias("h")))
-    zero = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as {SPAN})").alias("out"))
 
-    def step(acc, x):
-        begin = acc["pos"] + x["g"]
-        end = begin + F.length(x["h"])
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("out"))
+@functools.cache
+def _digest_function(pattern: str):
+    compiled = re.compile(pattern)
 
-    def append(acc, block):
-        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + acc["pos"]).alias("start"), (s["end"] + acc["pos"]).alias("end"), s["value"].alias("value")))
-        return F.struct((acc["pos"] + block["pos"]).alias("pos"), F.concat(acc["out"], moved).alias("out"))
+    def scan(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            at = [m.span() for m in compiled.finditer(t or "") if m.end() > m.start()]
+            out.append({"n": len(at), "starts": sum(s for s, _ in at), "ends": sum(e for _, e in at)})
+        return pa.array(out, pa.struct([("n", pa.int64()), ("starts", pa.int64()), ("ends", pa.int64())]))
 
-    def build(z):
-        last = F.greatest(F.floor((F.size(z) - 1) / BLOCK), F.lit(0)).cast("int")
-        blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(z, b * BLOCK + 1, BLOCK), zero, step))
-        return F.aggregate(blocks, zero, append, lambda acc: acc["out"])
+    return F.arrow_udf(scan, "n long, starts long, ends long")
 
-    return let(zipped, build)
+
+def span_sums(text: Column, pattern: str) -> Column:
+    """Number of matches and the sums of their starts and ends, where the matches themselves would only be counted."""
+    return _digest_function(pattern)(text)
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
@@ -107,41 +136,58 @@ def at_boundary(text: Column, position: Column) -> Column:
     return (position < 1) | (position > F.length(text)) | ~char.rlike(WORD_CHARACTER)
 
 
-def unreachable_reason(words: Column, start: Column, end: Column, max_width: int) -> Column:
-    """Why a span cannot be predicted from whole words: a boundary inside a word, more words than ``max_width``; null if it can."""
-    first = F.array_position(F.transform(words, lambda w: w["start"]), start)
-    last = F.array_position(F.transform(words, lambda w: w["end"]), end)
-    return F.when((first == 0) | (last == 0), "misaligned_word_boundary").when(last - first + 1 > max_width, "wider_than_max_width")
+@functools.cache
+def _reason_function(pattern: str, max_width: int):
+    compiled = re.compile(pattern)
+
+    def scan(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        out = []
+        for text, wanted in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
+            bounds = [m.span() for m in compiled.finditer(text or "")] if wanted else []
+            starts, ends = [s for s, _ in bounds], [e for _, e in bounds]
+            row = []
+            for x in wanted or ():
+                first, last = bisect_left(starts, x["start"]), bisect_left(ends, x["end"])
+                fits = first < len(starts) and starts[first] == x["start"] and last < len(ends) and ends[last] == x["end"]
+                row.append(None if fits and last - first < max_width else "wider_than_max_width" if fits else "misaligned_word_boundary")
+            out.append(None if wanted is None else row)
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(scan, "array<string>")
+
+
+def unreachable_reasons(text: Column, spans: Column, max_width: int, pattern: str = WORD) -> Column:
+    """For every span why it cannot be predicted from whole words: a boundary inside a word, more words than ``max_width``; null if it can."""
+    return _reason_function(pattern, max_width)(text, spans)
+
+
+def plan_chunks(words: list[tuple[int, int]], length: int, max_words: int, margin: int) -> list[tuple[int, ...]]:
+    """(chunk, char_start, char_end, own_start, own_end, word_count) of every window over the words of one text."""
+    n = len(words)
+    if n <= max_words:
+        return [(0, 0, length, 0, length, n)]
+    firsts = [*range(0, n - max_words, max_words - 2 * margin), n - max_words]
+    hand_over = [0, *(words[f + margin][0] for f in firsts[1:]), length]
+    return [(i, words[f][0], words[f + max_words - 1][1], hand_over[i], hand_over[i + 1], max_words) for i, f in enumerate(firsts)]
+
+
+@functools.cache
+def _chunk_function(pattern: str, max_words: int, margin: int):
+    compiled = re.compile(pattern)
+    names = ("chunk", "char_start", "char_end", "own_start", "own_end", "word_count")
+
+    def scan(texts: pa.Array) -> pa.Array:
+        rows = [None if t is None else plan_chunks([m.span() for m in compiled.finditer(t)], len(t), max_words, margin) for t in texts.to_pylist()]
+        return nested_array(rows, names, (pa.int32(),) * len(names))
+
+    return F.arrow_udf(scan, CHUNK)
 
 
-def chunk_plan(words: Column, length: Column, max_words: int, margin: int) -> Column:
-    """Windows of at most ``max_words`` words, overlapping by ``2 * margin``: char_start, char_end, own_start, own_end, word_count.
+def chunk_plan(text: Column, max_words: int, margin: int, pattern: str = WORD) -> Column:
+    """Windows of at most ``max_words`` words, overlapping by ``2 * margin``: chunk, char_start, char_end, own_start, own_end, word_count.
 
-    The owned regions partition the text, and a hand-over lies ``margin`` words inside both windows.
+    The owned regions partition the text, and a hand-over lies ``margin`` words inside both windows. Null texts give null.
     """
     if not max_words > 2 * margin >= 0:
         raise ValueError("max_words must exceed twice the margin")
-    stride = max_words - 2 * margin
-
-    def plan(words, firsts):
-        n = F.size(words)
-        word = lambda i: F.element_at(words, (i + 1).cast("int"))
-        whole = F.size(firsts) == 1
-
-        def chunk(first, index):
-            stop = F.least(first + max_words, n)
-            following = F.get(firsts, index + 1)
-            own_start = F.when(index == 0, F.lit(0)).otherwise(word(first + margin)["start"])
-            own_end = F.when(following.isNull(), length).otherwise(word(following + margin)["start"])
-            char_start = F.when(whole, F.lit(0)).otherwise(word(first)["start"])
-            char_end = F.when(whole, length).otherwise(word(stop - 1)["end"])
-            return F.struct(index.alias("chunk"), char_start.alias("char_start"), char_end.alias("char_end"), own_start.alias("own_start"), own_end.alias("own_end"), (stop - first).alias("word_count"))
-
-        return F.transform(firsts, chunk)
-
-    def starts(words):
-        n = F.size(words)
-        regular = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)), F.lit(stride)), lambda s: s < n - max_words)
-        return F.when(n <= max_words, F.array(F.lit(0))).otherwise(F.concat(regular, F.array(n - max_words)))
-
-    return let(words, lambda w: let(starts(w), lambda f: plan(w, f)))
+    return _chunk_function(pattern, max_words, margin)(text)

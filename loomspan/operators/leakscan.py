@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import WORD_CHARACTER, at_boundary
@@ -11,7 +15,8 @@ MIN_LENGTH = 6
 TEXT_PREFIX = 40
 WORD = r"[A-Za-z_][A-Za-z0-9_]*"
 SUFFIXES = ("json", "md", "txt", "log", "yaml", "csv")
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20  # larger sets of values are joined by shuffle
+SCAN_TOKEN = re.compile(r"\w+|[^\w\s]|\s")
 
 
 def sensitive_values(texts: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,9 +25,36 @@ def sensitive_values(texts: DataFrame, spans: DataFrame, id_col: str = "doc_id",
     return values.where(F.length("value") >= MIN_LENGTH).groupBy("value").agg(F.count(F.lit(1)).alias("copies"))
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """Text artifacts below ``path``: artifact, content."""
-    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").text(path, wholetext=True).select(F.input_file_name().alias("artifact"), F.col("value").alias("content"))
+def index_size(values: DataFrame) -> DataFrame:
+    """Distinct values, and how many there are with repeats."""
+    return values.agg(F.count(F.lit(1)).alias("distinct_values"), F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("values"))
+
+
+def read_artifacts(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Text artifacts below ``path`` but those that ``skip`` names (ends of paths): artifact, content."""
+    found = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(SUFFIXES) + "}").text(path, wholetext=True).select(F.input_file_name().alias("artifact"), F.col("value").alias("content"))
+    for name in skip:
+        found = found.where(~F.col("artifact").endswith("/" + name.lstrip("/")))
+    return found
+
+
+def hardware_words(value) -> list[str]:
+    """Strings below every ``hardware`` object of a report: device names that a report may print."""
+    out, todo = [], [(value, False)]
+    while todo:
+        x, inside = todo.pop()
+        if isinstance(x, dict):
+            todo.extend((v, k == "hardware" and isinstance(v, dict)) for k, v in x.items())
+            out += [v for v in x.values() if inside and isinstance(v, str)]
+        elif isinstance(x, list):
+            todo.extend((v, False) for v in x)
+    return sorted(out)
+
+
+def report_vocabulary(spark: SparkSession, sources: DataFrame, reports: list[str]) -> DataFrame:
+    """Words of the sources and of the hardware that the JSON ``reports`` name."""
+    extra = [(w,) for text in reports for w in hardware_words(json.loads(text))]
+    return vocabulary(sources.select("content").union(spark.createDataFrame(extra, "content string")))
 
 
 def vocabulary(sources: DataFrame, text_col: str = "content") -> DataFrame:
@@ -50,8 +82,45 @@ def leaks(artifacts: DataFrame, values: DataFrame, words: DataFrame | None = Non
     The distinct tokens of every text join the values on one rare token each; only the texts and values that meet are then searched
     for all occurrences, overlapping ones included.
     """
-    keys = probe_tokens(values.select("value").where(F.length("value") >= MIN_LENGTH).distinct())
-    side = F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+    wanted = values.select("value").where(F.length("value") >= MIN_LENGTH).distinct()
+    rows, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    found = scanned(artifacts, wanted, id_col, content_col) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else joined(artifacts, wanted, id_col, content_col)
+    if words is None:
+        return found.select(id_col, "offset", "length", hit_kind(F.col("value"), F.lit(False)).alias("kind"))
+    return classified(found, words, id_col)
+
+
+def scanned(artifacts: DataFrame, wanted: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """One pass over the texts, whose tokens look up the values: for value sets of a checked size."""
+    index: dict[str, list[tuple[str, int]]] = {}
+    for r in probe_tokens(wanted).collect():
+        places = [(m.group(), m.start()) for m in SCAN_TOKEN.finditer(r["value"])]
+        # engines differ on a few recent letters: then the longest token here will do
+        token, at = next((x for x in places if x[0] == r["token"]), max(places, key=lambda x: len(x[0])))
+        index.setdefault(token, []).append((r["value"], at))
+    held = artifacts.sparkSession.sparkContext.broadcast(index)
+
+    def scan(texts: pa.Array) -> pa.Array:
+        known, out = held.value, []
+        word = re.compile(r"\w")
+        for text in texts.to_pylist():
+            hits = []
+            for m in SCAN_TOKEN.finditer(text or ""):
+                for value, at in known.get(m.group(), ()):
+                    start = m.start() - at
+                    end = start + len(value)
+                    if start >= 0 and text.startswith(value, start) and not (start and word.match(text[start - 1])) and not (end < len(text) and word.match(text[end])):
+                        hits.append({"offset": start, "value": value})
+            out.append(hits)
+        return pa.array(out, pa.list_(pa.struct([("offset", pa.int64()), ("value", pa.string())])))
+
+    hits = artifacts.select(id_col, F.explode(F.arrow_udf(scan, "array<struct<offset:long,value:string>>")(F.col(content_col))).alias("h"))
+    return hits.select(id_col, "h.offset", F.length("h.value").cast("long").alias("length"), "h.value")
+
+
+def joined(artifacts: DataFrame, wanted: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """The same by a join of the texts' distinct tokens with one rare token of every value: for value sets of any size."""
+    side = probe_tokens(wanted)
     texts = artifacts.select(F.col(id_col), F.col(content_col).alias("__text")).where(F.length("__text") >= MIN_LENGTH)
     seen = texts.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(TOKENS), F.lit(0)))).alias("token"))
     pairs = seen.join(side, "token").select(id_col, "value")
@@ -60,10 +129,7 @@ def leaks(artifacts: DataFrame, values: DataFrame, words: DataFrame | None = Non
     lengths = F.transform(pieces, lambda x: F.length(x))
     found = pairs.join(texts, id_col).where(F.contains("__text", "value")).withColumn("__lengths", lengths).select(id_col, "value", "__text", F.explode(F.when(F.col("__text").startswith(F.col("value")), F.concat(F.array(F.lit(0)), cumulative("__lengths"))).otherwise(cumulative("__lengths"))).alias("start"))
     whole = found.where(at_boundary(F.col("__text"), F.col("start")) & at_boundary(F.col("__text"), F.col("start") + F.length("value") + 1))
-    found = whole.select(id_col, F.col("start").cast("long").alias("offset"), F.length("value").cast("long").alias("length"), "value")
-    if words is None:
-        return found.select(id_col, "offset", "length", hit_kind(F.col("value"), F.lit(False)).alias("kind"))
-    return classified(found, words, id_col)
+    return whole.select(id_col, F.col("start").cast("long").alias("offset"), F.length("value").cast("long").alias("length"), "value")
 
 
 def cumulative(lengths: str) -> Column:
@@ -87,3 +153,9 @@ def classified(found: DataFrame, words: DataFrame, id_col: str) -> DataFrame:
 
 def leak_counts(hits: DataFrame, id_col: str = "artifact") -> DataFrame:
     return hits.groupBy(id_col, "kind").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def first_leaks(hits: DataFrame, id_col: str = "artifact", limit: int = 10) -> DataFrame:
+    """The first real leaks of every artifact by offset: where they are, never what they are."""
+    order = Window.partitionBy(id_col).orderBy("offset", "length")
+    return hits.where("kind = 'leak'").withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= limit).select(id_col, "position", "offset", "length")

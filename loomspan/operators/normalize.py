@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ontology import ONTOLOGY, gateway_type
+from ..functions.ontology import ONTOLOGY, evaluation_type, gateway_type
 from ..functions.spans import valid_span
 
 SPANS = "array<struct<start:int,end:int,label:string>>"
@@ -46,6 +46,13 @@ def checked(records: DataFrame) -> DataFrame:
     return records.where(ok)
 
 
+def for_evaluation(normalised: DataFrame) -> DataFrame:
+    """Normalised records checked again, with evaluation types (dates and times merged), entities sorted by start, end and type."""
+    ok = checked(normalised.select("example_index", "text", F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["type"].alias("label"))).alias("spans")))
+    typed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), evaluation_type(s["label"]).alias("type")))
+    return ok.select("example_index", "text", F.array_sort(typed).alias("entities"))
+
+
 def aligned(normalised: DataFrame, raw: DataFrame, predictions: DataFrame) -> DataFrame:
     """The three inputs joined on example_index; texts and mapped entities must agree, unknown labels are errors."""
     again = normalise(raw, on_unknown="error").select("example_index", F.col("text").alias("raw_text"), F.col("entities").alias("raw_entities"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ontology import UNMAPPED
 from ..functions.spans import overlaps, valid_span
+from ..sources.store import materialise
 from .scoring import above, with_prf
 
 SPAN = ("example_index", "label", "start", "end")
@@ -115,7 +116,7 @@ def percentile(df: DataFrame, column: str, fractions: tuple[float, ...]) -> Data
     """
     values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("value"))
     counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    parts = counted.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    parts = materialise(counted.repartitionByRange("value").withColumn("part", F.spark_partition_id()))  # read twice: the ids must be the same
     offsets = parts.groupBy("part").agg(F.sum("n").alias("rows"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = offsets.withColumn("offset", F.coalesce(F.sum("rows").over(before), F.lit(0))).withColumn("total", F.sum("rows").over(Window.partitionBy()))
@@ -126,6 +127,15 @@ def percentile(df: DataFrame, column: str, fractions: tuple[float, ...]) -> Data
     return wanted.where((rank >= F.col("first")) & (rank < F.col("last"))).select("fraction", "value")
 
 
+def dense_numbers(df: DataFrame, column: str) -> DataFrame:
+    """The column's rows with ``line``, their 0-based rank: positions within range partitions plus the sizes of those before."""
+    parts = materialise(df.select(column).repartitionByRange(column).withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
+    return parts.withColumn("inside", inside).join(offsets, "part").select(column, (F.col("offset") + F.col("inside")).alias("line"))
+
+
 def summary(df: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
     """Mean and largest value of every metric, nulls skipped, metrics without values left out."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select("x.*").where("value is not null")

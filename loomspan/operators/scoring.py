@@ -150,6 +150,12 @@ def taxonomy_by_type(errors: DataFrame) -> DataFrame:
     return grouped.where("g = 0").drop("g")
 
 
+def category_samples(errors: DataFrame, limit: int = 5) -> DataFrame:
+    """The first spans of every category in example order, with their position."""
+    order = Window.partitionBy("category").orderBy("example_index", "start", "end", "entity_type")
+    return errors.withColumn("position", F.row_number().over(order).cast("long")).where(F.col("position") <= limit).select("category", "position", *KEY)
+
+
 def top_overlapping_labels(errors: DataFrame, native: DataFrame, limit: int = 5) -> DataFrame:
     """Native labels that took the place of lost spans, the most frequent per type; ties by label."""
     other = native.select(F.col("example_index").alias("o_example"), F.col("label").alias("native_label"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))

@@ -26,6 +26,11 @@ def tokenised(docs: DataFrame, salt: bytes, id_col: str = "doc_id", text_col: st
     return with_tokens.select(id_col, text_col, replace_spans(F.col(text_col), F.col("__kept")).alias("tokenised"), mappings.alias("mappings"))
 
 
+def mapping_rows(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, token, entity_type, value): one row per distinct value of a document."""
+    return tokens.select(id_col, F.explode("mappings").alias("m")).select(id_col, "m.*")
+
+
 def value_map(mappings):
     return F.map_from_entries(F.transform(mappings, lambda m: F.struct(m["token"], m["value"])))
 

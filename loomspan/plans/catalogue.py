@@ -1,18 +1,22 @@
 """Named queries over the test tables, with DuckDB SQL for each.
 
-The tables have no annotations, so both sides of scoring are derived: truth is what the recognisers find with valid check digits;
-predictions are the same matches disturbed by a rule on (document, offset): some missing, some with a wrong end or label, some
-repeated, some with a nested extra. The figures say nothing about a detector's quality.
+The tables have no annotations, so both sides of scoring are derived: truth is what the recognisers find, where 16 digits that fail their check digit count as
+dates (even ids) or times; predictions are the same matches disturbed by a rule on (document, offset): some missing, some with a wrong end
+or label, some repeated, some with a nested extra. The figures say nothing about a detector's quality.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, ontology
-from ..functions.spans import WORD, chunk_plan, find_tokens, regex_spans, unreachable_reason
+from ..functions.spans import WORD, chunk_plan, find_tokens, span_sums, unreachable_reasons
 from ..operators import detect, leakscan, normalize, predictions, scoring, tokenize, vault
+from ..sources import records as sources
+from ..sources.store import fresh_folder, materialise, remove
 
 THRESHOLD = 0.1
 SALT = bytes(range(32))
@@ -40,19 +44,25 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def derived(found: DataFrame) -> DataFrame:
+    """Labels of the derivation: what fails its check digit is a date or a time."""
+    failed = (F.col("label") == "credit_debit_card") & ~detect.luhn(F.col("value"))
+    return found.withColumn("label", F.when(failed, F.when(F.col("example_index") % 2 == 0, "date").otherwise("time")).otherwise(F.col("label")))
+
+
 def matches(spark, d) -> DataFrame:
-    return detect.candidates(table(spark, d, "documents"), keep=("lang", "source"))
+    return derived(detect.candidates(table(spark, d, "documents"), keep=("lang", "source")))
 
 
 def truth_of(found: DataFrame) -> DataFrame:
-    return scoring.mapped(found.where((F.col("label") != "credit_debit_card") | detect.luhn(F.col("value"))))
+    return scoring.mapped(found)
 
 
 def predicted_of(found: DataFrame) -> DataFrame:
     """Disturbed matches: (example_index, label, start, end, score), repeats included."""
-    x = F.col("example_index")
-    mode = (x * 31 + F.col("start")) % 10
-    score = ((x * 7919 + F.col("start") * 104729) % 1000) / 1000.0
+    x, at = F.col("example_index").cast("long"), F.col("start").cast("long")
+    mode = (x * 31 + at) % 10
+    score = ((x * 7919 + at * 104729) % 1000) / 1000.0
     one = lambda label, start, end, s: F.struct(label.alias("label"), start.cast("int").alias("start"), end.cast("int").alias("end"), s.alias("score"))
     label, start, end = F.col("label"), F.col("start"), F.col("end")
     exact = one(label, start, end, score)
@@ -67,7 +77,7 @@ def predicted_of(found: DataFrame) -> DataFrame:
 
 def scored(spark, d, threshold: float = THRESHOLD):
     """truth, native predictions above the threshold, kept and removed predictions."""
-    found = matches(spark, d)
+    found = materialise(matches(spark, d))  # truth and predictions come from one scan of the texts
     truth = truth_of(found)
     native = scoring.mapped(scoring.above(predictions.deduplicated(predicted_of(found)), threshold))
     return truth, native, native.where(F.col("entity_type") != "UNMAPPED"), native.where(F.col("entity_type") == "UNMAPPED")
@@ -75,8 +85,9 @@ def scored(spark, d, threshold: float = THRESHOLD):
 
 # ---- the same derivation in SQL ----------------------------------------------------------------------------------
 
-_TYPE = "CASE label WHEN 'email' THEN 'EMAIL_ADDRESS' WHEN 'phone_number' THEN 'PHONE_NUMBER' WHEN 'ipv4' THEN 'IP_ADDRESS' WHEN 'credit_debit_card' THEN 'CREDIT_CARD' WHEN 'user_name' THEN 'USERNAME' WHEN 'account_number' THEN 'BANK_ACCOUNT' ELSE 'UNMAPPED' END"
-_LUHN = "(" + " + ".join(f"CASE WHEN CAST(substr(value, {i}, 1) AS INT) > 4 THEN CAST(substr(value, {i}, 1) AS INT) * 2 - 9 ELSE CAST(substr(value, {i}, 1) AS INT) * 2 END" if i % 2 else f"CAST(substr(value, {i}, 1) AS INT)" for i in range(1, 17)) + ") % 10 = 0"
+_TYPE = "CASE label WHEN 'email' THEN 'EMAIL_ADDRESS' WHEN 'phone_number' THEN 'PHONE_NUMBER' WHEN 'ipv4' THEN 'IP_ADDRESS' WHEN 'credit_debit_card' THEN 'CREDIT_CARD' WHEN 'user_name' THEN 'USERNAME' WHEN 'account_number' THEN 'BANK_ACCOUNT' WHEN 'first_name' THEN 'PERSON' WHEN 'city' THEN 'LOCATION' WHEN 'date' THEN 'DATE_TIME' WHEN 'time' THEN 'DATE_TIME' ELSE 'UNMAPPED' END"
+_CITY = detect.RECOGNISERS["city"]
+_LUHN = "(" + " + ".join(f"CASE WHEN TRY_CAST(substr(value, {i}, 1) AS INT) > 4 THEN TRY_CAST(substr(value, {i}, 1) AS INT) * 2 - 9 ELSE TRY_CAST(substr(value, {i}, 1) AS INT) * 2 END" if i % 2 else f"TRY_CAST(substr(value, {i}, 1) AS INT)" for i in range(1, 17)) + ") % 10 = 0"
 _P = detect.PATTERN.replace("'", "''")
 
 
@@ -84,9 +95,11 @@ def prelude(threshold: float = THRESHOLD, pattern: str = _P) -> str:
     return f"""WITH g AS (SELECT doc_id, lang, source, text, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM documents),
 e AS (SELECT doc_id, lang, source, length(text) AS n, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM g),
 s0 AS (SELECT doc_id, lang, source, n, hits[i] AS value, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s FROM e),
-c AS (SELECT doc_id, lang, source, n, value, s, s + length(value) AS e, CASE WHEN contains(value, '@') THEN 'email' WHEN starts_with(value, '+') THEN 'phone_number' WHEN starts_with(value, 'AKIA') THEN 'api_key'
-    WHEN starts_with(value, 'password=') THEN 'password' WHEN contains(value, '.') THEN 'ipv4' ELSE 'credit_debit_card' END AS label FROM s0),
-truth AS (SELECT doc_id, lang, source, n, value, s, e, label, {_TYPE} AS typ FROM c WHERE CASE WHEN label = 'credit_debit_card' THEN {_LUHN} ELSE true END),
+c0 AS (SELECT doc_id, lang, source, n, value, s, s + length(value) AS e, CASE WHEN contains(value, '@') THEN 'email' WHEN starts_with(value, '+') THEN 'phone_number' WHEN starts_with(value, 'AKIA') OR starts_with(value, 'token =') THEN 'api_key'
+    WHEN starts_with(value, 'password=') THEN 'password' WHEN regexp_matches(value, '^[A-Z]') THEN CASE WHEN regexp_matches(value, '[0-9]') THEN 'date' WHEN regexp_matches(value, '^{_CITY}') THEN 'city' ELSE 'first_name' END
+    WHEN contains(value, ':') THEN 'time' WHEN regexp_matches(value, '[-/]') THEN 'date' WHEN contains(value, '.') THEN 'ipv4' ELSE 'credit_debit_card' END AS raw_label FROM s0),
+c AS (SELECT * EXCLUDE (raw_label), CASE WHEN raw_label = 'credit_debit_card' AND NOT ({_LUHN}) THEN CASE WHEN doc_id % 2 = 0 THEN 'date' ELSE 'time' END ELSE raw_label END AS label FROM c0),
+truth AS (SELECT doc_id, lang, source, n, value, s, e, label, {_TYPE} AS typ FROM c),
 m AS (SELECT *, (doc_id * 31 + s) % 10 AS mode, ((doc_id * 7919 + s * 104729) % 1000) / 1000.0::DOUBLE AS score FROM c),
 raw AS (SELECT doc_id, label, s, e, score FROM m WHERE mode >= 3 UNION ALL SELECT doc_id, label, s, least(e + 1, n), score FROM m WHERE mode = 1
     UNION ALL SELECT doc_id, CASE WHEN label = 'password' THEN 'user_name' ELSE 'account_number' END, s, e, score FROM m WHERE mode = 2
@@ -123,7 +136,7 @@ _FP = f"""fp AS (SELECT k.doc_id, k.typ, k.s, k.e, k.fp AS n, CASE
     WHEN EXISTS (SELECT 1 FROM truth p WHERE {_overlap("k", "p")}) THEN 'overlapping_prediction' ELSE 'false_positive' END AS category,
     EXISTS (SELECT 1 FROM truth p WHERE {_overlap("k", "p")} AND ((p.s <= k.s AND k.e <= p.e) OR (k.s <= p.s AND p.e <= k.e))) AS nested FROM k WHERE k.fp > 0)"""
 _FAILED = f"""failed AS (SELECT 'fn' AS kind, doc_id, typ, s, e, CASE WHEN EXISTS (SELECT 1 FROM pred p WHERE {_overlap("k", "p")} AND p.typ = k.typ) THEN 'span_mismatch' WHEN typ = 'UNMAPPED' THEN 'unmapped_source_label'
-    WHEN typ IN ('EMAIL_ADDRESS', 'PHONE_NUMBER', 'IP_ADDRESS', 'CREDIT_CARD') THEN 'supported_direct' ELSE 'unsupported_entity' END AS failure_group FROM k WHERE p = 0
+    WHEN typ IN ('PERSON', 'EMAIL_ADDRESS', 'PHONE_NUMBER', 'LOCATION', 'DATE_TIME', 'IP_ADDRESS', 'CREDIT_CARD') THEN 'supported_direct' ELSE 'unsupported_entity' END AS failure_group FROM k WHERE p = 0
     UNION ALL SELECT 'fp', doc_id, typ, s, e, CASE WHEN EXISTS (SELECT 1 FROM truth p WHERE {_overlap("k", "p")} AND p.typ = k.typ) THEN 'span_mismatch' ELSE 'detector_recognizer' END FROM k WHERE t = 0)"""
 
 
@@ -155,17 +168,23 @@ def ontology_coverage(spark, d):
     return out.withColumn("never_seen", F.col("spans") == 0)
 
 
+def with_label(s, index):
+    """A found span as (start, end, label), labels derived as in ``derived``."""
+    label = detect.native_label(s["value"])
+    failed = (label == "credit_debit_card") & ~detect.luhn(s["value"])
+    return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(failed, F.when(index % 2 == 0, "date").otherwise("time")).otherwise(label).alias("label"))
+
+
 def records(spark, d) -> DataFrame:
     """Raw records: annotations are all matches, with one broken annotation in every seventh document that has any."""
-    docs = table(spark, d, "documents")
-    found = F.transform(regex_spans(F.col("text"), detect.PATTERN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), detect.native_label(s["value"]).alias("label")))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("example_index"), "text", detect.match_spans(F.col("text")).alias("found")).where(F.size("found") > 0)
     broken = F.array(F.struct(F.length("text").alias("start"), (F.length("text") + 1).alias("end"), F.lit("future_label").alias("label")))
-    base = docs.select(F.col("doc_id").alias("example_index"), "text", found.alias("spans")).where(F.size("spans") > 0)
+    base = docs.select("example_index", "text", F.transform("found", lambda s: with_label(s, F.col("example_index"))).alias("spans"))
     return base.withColumn("spans", F.when(F.col("example_index") % 7 == 0, F.concat("spans", broken)).otherwise(F.col("spans")))
 
 
 @query(prelude() + f"""SELECT doc_id AS example_index, typ AS entity_type, s AS "start", e AS "end", row_number() OVER (PARTITION BY doc_id ORDER BY s, e, typ) - 1 AS position FROM (
-    SELECT doc_id, {_TYPE} AS typ, s, e FROM c UNION ALL SELECT doc_id, 'UNMAPPED', n, n + 1 FROM (SELECT DISTINCT doc_id, n FROM c) WHERE doc_id % 7 = 0)""")
+    SELECT doc_id, CASE label WHEN 'date' THEN 'DATE' WHEN 'time' THEN 'TIME' ELSE {_TYPE} END AS typ, s, e FROM c UNION ALL SELECT doc_id, 'UNMAPPED', n, n + 1 FROM (SELECT DISTINCT doc_id, n FROM c) WHERE doc_id % 7 = 0)""")
 def normalized_entities(spark, d):
     out = normalize.normalise(records(spark, d))
     return out.select("example_index", F.posexplode("entities").alias("position", "e")).select("example_index", F.col("e.type").alias("entity_type"), F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"), F.col("position").cast("long").alias("position"))
@@ -181,6 +200,114 @@ def split_inspection(spark, d):
     return normalize.inspect_split(records(spark, d))
 
 
+# ---- sources and sinks -----------------------------------------------------------------------------------------------
+
+
+def valid_records(spark, d) -> DataFrame:
+    """The raw records without the broken annotations."""
+    return records(spark, d).withColumn("spans", F.filter("spans", lambda s: s["label"] != "future_label"))
+
+
+def _through(spark, kind: str, write, read) -> DataFrame:
+    """What ``read`` finds where ``write`` has written; the folder goes afterwards."""
+    place = fresh_folder(spark, kind)
+    write(place)
+    out = materialise(read(place))
+    remove(spark, place)
+    return out
+
+
+_RECORDS = "rec AS (SELECT c.doc_id, d.text, count(*) AS entities, sum(c.s) AS starts FROM c JOIN documents d USING (doc_id) GROUP BY ALL)"
+
+
+@query(prelude() + ", " + _RECORDS + " SELECT doc_id AS example_index, sha256(text) AS text_sha256, entities, CAST(starts AS BIGINT) AS starts FROM rec WHERE doc_id < 500")
+def normalized_round_trip(spark, d):
+    """Normalised records as JSON lines, and the first 500 examples of them read back."""
+    out = _through(spark, "normalised", lambda at: sources.write_normalised(normalize.normalise(valid_records(spark, d)), at), lambda at: sources.read_normalised(spark, at, limit=500))
+    starts = F.expr("aggregate(entities, 0L, (s, e) -> s + e.start)")
+    return out.select("example_index", F.sha2("text", 256).alias("text_sha256"), F.size("entities").cast("long").alias("entities"), starts.alias("starts"))
+
+
+@query(prelude() + ", " + _RECORDS + " SELECT doc_id AS example_index, entities FROM rec WHERE doc_id IN (SELECT item_id * 7 FROM benchmark)")
+def selected_examples(spark, d):
+    """Examples whose index another table lists."""
+    wanted = table(spark, d, "benchmark").select((F.col("item_id") * 7).alias("example_index"))
+    out = _through(spark, "normalised", lambda at: sources.write_normalised(normalize.normalise(valid_records(spark, d)), at), lambda at: sources.selected(sources.read_normalised(spark, at), wanted))
+    return out.select("example_index", F.size("entities").cast("long").alias("entities"))
+
+
+@query(prelude() + ", " + _RECORDS + " SELECT doc_id AS example_index FROM (SELECT doc_id FROM rec ORDER BY sha256('13:' || doc_id), doc_id LIMIT 50)")
+def dev_source(spark, d):
+    """The development source: a keyed sample of the training split."""
+    return _through(spark, "splits", lambda at: sources.write_normalised(normalize.normalise(valid_records(spark, d)), f"{at}/train"), lambda at: sources.source(spark, at, "dev", dev_size=50)).select("example_index")
+
+
+@query(prelude() + ", " + _RECORDS + " SELECT doc_id AS example_index, sha256(text) AS text_sha256, entities FROM rec")
+def numbered_lines(spark, d):
+    """JSON lines without an index: the line number becomes the index. One file, sorted by document, stands for the reference's file."""
+    rows = normalize.normalise(valid_records(spark, d)).orderBy("example_index")
+    ids = materialise(rows.select("example_index"))
+    place = fresh_folder(spark, "lines")
+    sources.write_normalised(rows.coalesce(1), place)
+    out = materialise(sources.with_line_numbers(spark, place))
+    remove(spark, place)
+    rank = predictions.dense_numbers(ids, "example_index")  # which document a line is
+    return out.withColumnRenamed("example_index", "line").join(rank, "line").select("example_index", F.sha2("text", 256).alias("text_sha256"), F.size("entities").cast("long").alias("entities"))
+
+
+@query(prelude() + ", " + _RECORDS + " SELECT doc_id AS example_index, entities, sha256(text) AS text_sha256 FROM rec WHERE doc_id % 11 <> 0")
+def aligned_inputs(spark, d):
+    """Normalised records, raw records and predictions joined on their example, with the checks of their agreement."""
+    raw = materialise(valid_records(spark, d))
+    place = fresh_folder(spark, "raw")
+    raw.select(F.col("example_index").cast("string").alias("uid"), "text", F.to_json("spans").alias("spans"), F.lit("plain").alias("document_format"), F.lit(1).alias("unread")).write.parquet(place)
+    read = sources.read_raw(spark, place).select(F.col("uid").cast("long").alias("example_index"), "text", normalize.parse_spans(F.col("spans")).alias("spans"))
+    predicted = predicted_of(matches(spark, d)).where("example_index % 11 <> 0").select("example_index").union(raw.select("example_index").where("example_index % 11 <> 0")).distinct()
+    out = materialise(normalize.aligned(normalize.normalise(raw), read, predicted))
+    remove(spark, place)
+    return out.select("example_index", F.size("entities").cast("long").alias("entities"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(prelude() + """SELECT doc_id AS example_index, typ AS entity_type, s AS "start", e AS "end" FROM truth""")
+def evaluation_entities(spark, d):
+    """Normalised records checked again, with the evaluation's types."""
+    out = normalize.exploded(normalize.for_evaluation(normalize.normalise(valid_records(spark, d))))
+    return out.select("example_index", F.col("type").alias("entity_type"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+@query(prelude() + """SELECT doc_id AS example_index, label, s AS "start", e AS "end" FROM c""")
+def span_literals(spark, d):
+    """Annotations written as Python literals and parsed again."""
+    literal = F.concat(F.lit("["), F.array_join(F.transform("spans", lambda s: F.format_string("{'start': %d, 'end': %d, 'label': '%s'}", s["start"], s["end"], s["label"])), ", "), F.lit("]"))
+    parsed = valid_records(spark, d).select("example_index", F.explode(normalize.parse_spans(literal)).alias("s"))
+    return parsed.select("example_index", "s.label", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+
+
+@query(prelude() + 'SELECT doc_id AS example_index, label, s AS "start", e AS "end", score FROM ded WHERE doc_id < 800')
+def predictions_round_trip(spark, d):
+    """Predictions written in two parts by a sink that resumes, and read back."""
+    rows = materialise(predictions.deduplicated(predicted_of(matches(spark, d))).where("example_index < 800"))
+    per = rows.groupBy(F.col("example_index").alias("i")).agg(F.lit(1).alias("c"), F.lit(0).alias("d"), F.collect_list(F.struct("label", "start", "end", "score")).alias("p"))
+
+    def write(place):
+        sources.PredictionSink(spark, f"{place}/p", {"run": 1}).append(per.where("i < 300"), 300)
+        sources.PredictionSink(spark, f"{place}/p", {"run": 1}, resume=True).append(per.where("i >= 300"), 800)
+
+    out = _through(spark, "predictions", write, lambda at: sources.read_predictions(spark, f"{at}/p"))
+    return out.select("example_index", F.explode("predictions").alias("p")).select("example_index", "p.label", F.col("p.start").cast("long").alias("start"), F.col("p.end").cast("long").alias("end"), "p.score")
+
+
+def _address_model():
+    return lambda texts: [[("email", *m.span(), 0.5) for m in re.finditer(detect.RECOGNISERS["email"], t)] for t in texts]
+
+
+@query(prelude() + """SELECT doc_id AS example_index, label, s AS "start", e AS "end", 0.5::DOUBLE AS score FROM c WHERE label = 'email'""")
+def model_adapter(spark, d):
+    """An external model over chunked texts: every address is found once, by the chunk that owns it."""
+    out = detect.run_model(table(spark, d, "documents"), _address_model, max_words=120, margin=30, labels=("email",))
+    return out.select("example_index", "label", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "score")
+
+
 # ---- strict scoring ------------------------------------------------------------------------------------------------
 
 
@@ -304,12 +431,12 @@ def fn_overlapping_labels_top5(spark, d):
     FROM truth JOIN (SELECT doc_id, text FROM documents) t USING (doc_id)) r GROUP BY ALL""")
 def reachability(spark, d):
     """Words here are ASCII runs and single marks, so that every engine splits alike; six words are reachable."""
-    docs = table(spark, d, "documents")
-    words = regex_spans(F.col("text"), ASCII_WORD + r"|[^A-Za-z0-9_\s]")
-    found = F.transform(regex_spans(F.col("text"), detect.PATTERN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), detect.native_label(s["value"]).alias("label")))
-    with_any = docs.where(F.col("text").rlike(detect.PATTERN)).select("doc_id", words.alias("words"), F.explode(found).alias("s"))
-    truth = with_any.where((F.col("s.label") != "credit_debit_card") | detect.luhn(F.col("s.value"))).select(F.col("doc_id").alias("example_index"), "s.label", "s.start", "s.end", F.coalesce(unreachable_reason(F.col("words"), F.col("s.start"), F.col("s.end"), 6), F.lit("reachable")).alias("reason"))
-    _, native, _, _ = scored(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("example_index"), "text", detect.match_spans(F.col("text")).alias("found")).where(F.size("found") > 0)
+    reasons = unreachable_reasons(F.col("text"), F.col("found"), 6, ASCII_WORD + r"|[^A-Za-z0-9_\s]")
+    told = docs.select("example_index", "found", reasons.alias("reasons"))
+    both = F.transform("found", lambda s, i: F.struct(with_label(s, F.col("example_index")).alias("s"), F.coalesce(F.get("reasons", i), F.lit("reachable")).alias("reason")))
+    truth = told.select("example_index", F.explode(both).alias("x")).select("example_index", "x.s.label", "x.s.start", "x.s.end", "x.reason")
+    native = scored(spark, d)[1]
     hit = native.select("example_index", "label", "start", "end").distinct().withColumn("hit", F.lit(True))
     return truth.join(hit, ["example_index", "label", "start", "end"], "left").groupBy("label", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit").isNull()).alias("missed"))
 
@@ -321,10 +448,21 @@ def slice_metrics(spark, d):
     return scoring.slices(docs, scoring.per_example(scoring.match_counts(truth, kept)), "lang", "source", "chunking")
 
 
-@query(prelude() + "SELECT CAST((SELECT sum(tp) FROM k) AS BIGINT) AS exact_first")
+@query(prelude() + f""", tied AS (SELECT p.doc_id, p.typ, p.s, p.e, min(t.s) AS ts FROM pred p JOIN truth t ON {_overlap("p", "t")} AND p.typ = t.typ GROUP BY ALL),
+    first_ AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, typ, ts ORDER BY s, e) AS r FROM tied) WHERE r = 1)
+    SELECT CAST((SELECT sum(tp) FROM k) AS BIGINT) AS exact_first, (SELECT count(*) FROM first_ f JOIN truth t ON f.doc_id = t.doc_id AND f.typ = t.typ AND f.ts = t.s AND f.s = t.s AND f.e = t.e) AS in_detector_order""")
 def harness_check(spark, d):
+    """Exact matches by set operations, listed first, next to those of a matcher that goes through the predictions in order."""
     truth, _, kept, _ = scored(spark, d)
-    return scoring.greedy_matches(truth, kept).select("exact_first")
+    return scoring.greedy_matches(truth, kept)
+
+
+@query(prelude() + f""", {_FN} SELECT category, position, doc_id AS example_index, typ AS entity_type, s AS "start", e AS "end" FROM (
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY doc_id, s, e, typ) AS position FROM fn) WHERE position <= 5""")
+def fn_category_samples(spark, d):
+    truth, _, kept, removed = scored(spark, d)
+    out = scoring.category_samples(scoring.false_negatives(truth, kept, removed))
+    return out.withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
 
 
 # ---- predictions -------------------------------------------------------------------------------------------------
@@ -362,7 +500,7 @@ _SWEEP = ", th(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in pre
 
 
 def _sweep(spark, d):
-    found = matches(spark, d)
+    found = materialise(matches(spark, d))
     return predictions.threshold_sweep(truth_of(found), scoring.mapped(predictions.deduplicated(predicted_of(found))))
 
 
@@ -393,13 +531,13 @@ _AGREE = """SELECT count(*) FILTER (only_r = 0 AND only_c = 0) AS identical_exam
 
 @query(prelude() + "SELECT *, only_reference = 0 AND only_candidate = 0 AND max_score_delta <= 0.01 AS within_tolerance FROM (" + _AGREE.format(a="ded", b="ded WHERE doc_id % 11 <> 0", score="score + 0.001") + ")")
 def config_agreement(spark, d):
-    raw = predicted_of(matches(spark, d))
+    raw = materialise(predicted_of(matches(spark, d)))
     return predictions.agreement(raw, _candidate_run(raw), 0.01)
 
 
 @query(prelude() + "SELECT examples, identical_examples, only_reference AS only_post_filtered, only_candidate AS only_direct FROM (" + _AGREE.format(a="(SELECT * FROM ded WHERE score > 0.5)", b="(SELECT * FROM ded WHERE score > 0.5 AND doc_id % 11 <> 0)", score="score") + ")")
 def postfilter_verification(spark, d):
-    raw = predictions.deduplicated(predicted_of(matches(spark, d)))
+    raw = materialise(predictions.deduplicated(predicted_of(matches(spark, d))))
     return predictions.post_filter_check(raw, scoring.above(raw, 0.5).where(F.col("example_index") % 11 != 0), 0.5)
 
 
@@ -444,32 +582,48 @@ def resource_summary(spark, d):
 # ---- words and chunks ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS BIGINT) AS words FROM documents")
+def _words_sql(pattern: str) -> str:
+    """Tables w (doc_id, i, s, e: offsets of all words) and t (doc_id, n: length, k: words)."""
+    return f"""g AS (SELECT doc_id, length(text) AS n, string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS hits FROM documents),
+    t AS (SELECT doc_id, n, len(hits) AS k FROM g),
+    u AS (SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, length(unnest(gaps[1:len(hits)])) AS gap, length(unnest(hits)) AS size FROM g),
+    w AS (SELECT doc_id, i, size, CAST(sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM u)"""
+
+
+_WORDS_SQL = _words_sql(r"[\pL\pN_]+(?:[-_][\pL\pN_]+)*|[^[:space:]]")
+
+
+@query("WITH " + _WORDS_SQL + " SELECT t.doc_id, k AS words, CAST(coalesce(sum(e - size), 0) AS BIGINT) AS starts, CAST(coalesce(sum(e), 0) AS BIGINT) AS ends FROM t LEFT JOIN w USING (doc_id) GROUP BY ALL")
 def word_spans(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(regex_spans(F.col("text"), ASCII_WORD)).cast("long").alias("words"))
+    """Words by their full definition: how many, and the sums of their offsets."""
+    return table(spark, d, "documents").select("doc_id", span_sums(F.col("text"), WORD).alias("w")).select("doc_id", F.col("w.n").alias("words"), F.col("w.starts").alias("starts"), F.col("w.ends").alias("ends"))
 
 
-@query("""WITH g AS (SELECT doc_id, length(text) AS n, string_split_regex(text, '[^[:space:]]+') AS gaps, regexp_extract_all(text, '[^[:space:]]+') AS hits FROM documents),
-    w AS (SELECT doc_id, n, len(hits) AS k, list_transform(range(1, len(hits) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0)) AS st, hits FROM g),
-    f AS (SELECT *, CASE WHEN k <= 100 THEN [0] ELSE list_concat(range(0, k - 100, 60), [k - 100]) END AS firsts FROM w),
-    x AS (SELECT *, unnest(range(1, len(firsts) + 1)) AS i FROM f)
-    SELECT doc_id, CAST(i - 1 AS BIGINT) AS chunk, CAST(CASE WHEN len(firsts) = 1 THEN 0 ELSE st[firsts[i] + 1] END AS BIGINT) AS char_start, CAST(CASE WHEN len(firsts) = 1 THEN n ELSE st[least(firsts[i] + 100, k)] + length(hits[least(firsts[i] + 100, k)]) END AS BIGINT) AS char_end,
-    CAST(CASE WHEN i = 1 THEN 0 ELSE st[firsts[i] + 21] END AS BIGINT) AS own_start, CAST(CASE WHEN i = len(firsts) THEN n ELSE st[firsts[i + 1] + 21] END AS BIGINT) AS own_end, CAST(least(100, k) AS BIGINT) AS word_count FROM x""")
+@query("WITH " + _words_sql("[^[:space:]]+") + """, f AS (SELECT doc_id, n, k, CASE WHEN k <= 100 THEN [0] ELSE list_concat(range(0, k - 100, 60), [k - 100]) END AS firsts FROM t),
+    x AS (SELECT *, unnest(range(1, len(firsts) + 1)) AS i FROM f),
+    y AS (SELECT doc_id, n, k, i, len(firsts) AS chunks, firsts[i] AS a, firsts[i + 1] AS b FROM x)
+    SELECT y.doc_id, CAST(y.i - 1 AS BIGINT) AS chunk, CAST(CASE WHEN chunks = 1 THEN 0 ELSE wa.e - wa.size END AS BIGINT) AS char_start, CAST(CASE WHEN chunks = 1 THEN n ELSE wl.e END AS BIGINT) AS char_end,
+    CAST(CASE WHEN y.i = 1 THEN 0 ELSE wo.e - wo.size END AS BIGINT) AS own_start, CAST(CASE WHEN y.i = chunks THEN n ELSE wn.e - wn.size END AS BIGINT) AS own_end, CAST(least(100, k) AS BIGINT) AS word_count
+    FROM y LEFT JOIN w wa ON wa.doc_id = y.doc_id AND wa.i = a + 1 LEFT JOIN w wl ON wl.doc_id = y.doc_id AND wl.i = least(a + 100, k) LEFT JOIN w wo ON wo.doc_id = y.doc_id AND wo.i = a + 21 LEFT JOIN w wn ON wn.doc_id = y.doc_id AND wn.i = b + 21""")
 def chunk_windows(spark, d):
     """Windows of 100 words with a margin of 20 over white-space words."""
     docs = table(spark, d, "documents")
-    plan = chunk_plan(regex_spans(F.col("text"), r"[^ \t\n\x0B\f\r]+"), F.length("text"), 100, 20)
-    out = docs.select("doc_id", F.explode(plan).alias("c")).select("doc_id", "c.*")
+    out = docs.select("doc_id", F.explode(chunk_plan(F.col("text"), 100, 20, r"[^ \t\n\x0B\f\r]+")).alias("c")).select("doc_id", "c.*")
     return out.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("chunk", "char_start", "char_end", "own_start", "own_end", "word_count")))
 
 
-@query(None)
+_OVERLAPS = "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, label, score DESC) AS a FROM ded)"
+
+
+@query(prelude() + ", " + _WORDS_SQL.replace("g AS", "wg AS").replace("FROM g)", "FROM wg)") + ", " + _OVERLAPS + """, ch AS (SELECT CASE WHEN k <= 384 THEN 1 ELSE CAST(ceil((k - 384) / 288.0) AS BIGINT) + 1 END AS chunks FROM t)
+    SELECT CAST(sum(chunks) AS BIGINT) AS chunks, count(*) FILTER (chunks > 1) AS chunked_examples, (SELECT CAST(coalesce(sum(copies - 1), 0) AS BIGINT) FROM ded) AS duplicates_removed,
+    (SELECT count(*) FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.a < y.a AND x.s < y.e AND y.s < x.e) AS overlap_pairs FROM ch""")
 def structural_counters(spark, d):
     """Chunks, chunked texts, duplicates removed and overlapping pairs of all predictions, with the full word definition."""
     docs = table(spark, d, "documents")
-    chunks = docs.select(F.size(chunk_plan(regex_spans(F.col("text"), WORD), F.length("text"), 384, 48)).alias("c"))
+    chunks = docs.select(F.size(chunk_plan(F.col("text"), 384, 48)).alias("c"))
     counted = chunks.agg(F.sum("c").cast("long").alias("chunks"), F.count_if(F.col("c") > 1).alias("chunked_examples"))
-    deduped = predictions.deduplicated(predicted_of(matches(spark, d)))
+    deduped = materialise(predictions.deduplicated(predicted_of(matches(spark, d))))
     removed = deduped.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).cast("long").alias("duplicates_removed"))
     pairs = predictions.overlap_pairs(deduped).agg(F.coalesce(F.sum("pairs"), F.lit(0)).cast("long").alias("overlap_pairs"))
     return counted.crossJoin(removed).crossJoin(pairs)  # one row each
@@ -480,11 +634,12 @@ def structural_counters(spark, d):
 
 def documents_with_spans(spark, d) -> DataFrame:
     """Documents with detected spans of supported types, plus shorter spans inside them that the selection has to drop."""
-    docs = table(spark, d, "documents")
-    found = F.transform(regex_spans(F.col("text"), detect.PATTERN), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), ontology.gateway_type(detect.native_label(s["value"])).alias("entity_type")))
-    supported = F.filter(found, lambda s: s["entity_type"].isin(*TYPES) & ((s["entity_type"] != "CREDIT_CARD") | detect.luhn(s["value"])))
-    inner = F.transform(supported, lambda s: F.struct(s["start"].alias("start"), (s["end"] - 2).alias("end"), F.substring(s["value"], F.lit(1), F.length(s["value"]) - 2).alias("value"), s["entity_type"].alias("entity_type")))
-    return docs.select("doc_id", "text", F.concat(inner, supported).alias("spans"))
+    docs = table(spark, d, "documents").select("doc_id", "text", detect.match_spans(F.col("text")).alias("found"))
+    kind = lambda s: ontology.evaluation_type(ontology.gateway_type(with_label(s, F.col("doc_id"))["label"]))
+    named = docs.select("doc_id", "text", F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), kind(s).alias("entity_type"))).alias("named"))
+    supported = named.select("doc_id", "text", F.filter("named", lambda s: s["entity_type"].isin(*TYPES)).alias("supported"))
+    inner = F.transform("supported", lambda s: F.struct(s["start"].alias("start"), (s["end"] - 2).alias("end"), F.substring(s["value"], F.lit(1), F.length(s["value"]) - 2).alias("value"), s["entity_type"].alias("entity_type")))
+    return supported.select("doc_id", "text", F.concat(inner, "supported").alias("spans"))
 
 
 _IN, _OUT = (p.hex() for p in crypto.pads(SALT))
@@ -500,12 +655,15 @@ def _hmac(inner: str, outer: str, message: str) -> str:
 
 
 _TOKEN = "'<PII_' || typ || ':' || substr(" + _hmac(_IN, _OUT, " || ".join(_field(f"encode({x})") for x in ("CAST(doc_id AS VARCHAR)", "typ", "value"))) + ", 1, 32) || '>'"
-_TOKENS = f", tk AS (SELECT doc_id, typ, value, s, e, {_TOKEN} AS token FROM truth WHERE typ IN ('EMAIL_ADDRESS', 'PHONE_NUMBER', 'IP_ADDRESS', 'CREDIT_CARD'))"
+_TOKENS = f", tk AS (SELECT doc_id, typ, value, s, e, {_TOKEN} AS token FROM truth WHERE typ IN ('PERSON', 'EMAIL_ADDRESS', 'PHONE_NUMBER', 'LOCATION', 'DATE_TIME', 'IP_ADDRESS', 'CREDIT_CARD'))"
+
+
+_TEXTS = _TOKENS + """, b AS (SELECT doc_id, list(token ORDER BY s) AS ts, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM tk GROUP BY ALL),
+    tx AS (SELECT d.doc_id, CASE WHEN b.doc_id IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(ts) + 1), lambda i: substr(text, CASE WHEN i = 1 THEN 1 ELSE es[i - 1] + 1 END, ss[i] - CASE WHEN i = 1 THEN 0 ELSE es[i - 1] END) || ts[i]), '') || substr(text, es[len(es)] + 1) END AS tokenised,
+    text, CAST(coalesce(len(list_distinct(ts)), 0) AS BIGINT) AS tokens FROM documents d LEFT JOIN b USING (doc_id))"""
 
 
-@query(prelude() + _TOKENS + """, b AS (SELECT doc_id, list(token ORDER BY s) AS ts, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM tk GROUP BY ALL)
-    SELECT d.doc_id, sha256(CASE WHEN b.doc_id IS NULL THEN text ELSE array_to_string(list_transform(range(1, len(ts) + 1), lambda i: substr(text, CASE WHEN i = 1 THEN 1 ELSE es[i - 1] + 1 END, ss[i] - CASE WHEN i = 1 THEN 0 ELSE es[i - 1] END) || ts[i]), '') || substr(text, es[len(es)] + 1) END) AS text_sha256, CAST(coalesce(len(list_distinct(ts)), 0) AS BIGINT) AS tokens
-    FROM documents d LEFT JOIN b USING (doc_id)""")
+@query(prelude() + _TEXTS + " SELECT doc_id, sha256(tokenised) AS text_sha256, tokens FROM tx")
 def tokenized_text(spark, d):
     out = tokenize.tokenised(documents_with_spans(spark, d), SALT)
     return out.select("doc_id", F.sha2("tokenised", 256).alias("text_sha256"), F.size("mappings").cast("long").alias("tokens"))
@@ -529,8 +687,12 @@ def token_requests(spark, d):
     return out.where(F.size("tokens") > 0).select("doc_id", F.size("tokens").cast("long").alias("tokens"), "too_large")
 
 
+def _tokenised(spark, d) -> DataFrame:
+    return materialise(tokenize.tokenised(documents_with_spans(spark, d), SALT).select("doc_id", "tokenised", "mappings"))
+
+
 def _mapping_rows(spark, d) -> DataFrame:
-    return tokenize.tokenised(documents_with_spans(spark, d), SALT).select("doc_id", F.explode("mappings").alias("m")).select("doc_id", "m.*")
+    return tokenize.mapping_rows(tokenize.tokenised(documents_with_spans(spark, d), SALT))
 
 
 _MESSAGE = " || ".join(_field(x) for x in (f"unhex('{crypto.HASH_DOMAIN.hex()}')", f"unhex('{TENANT.replace('-', '')}')", "encode(token)"))
@@ -548,14 +710,12 @@ WRITER = vault.Principal(TENANT, frozenset({vault.STORE, vault.DETOKENIZE}))
 NOW = "timestamp'2030-01-01 00:00:00'"
 
 
-def _vault(spark, d) -> DataFrame:
-    """Vault rows of all mappings: documents divisible by three expire after a minute. Keys are random, so the rows are written once and read again."""
-    rows = _mapping_rows(spark, d)
-    short = vault.entries(rows.where("doc_id % 3 = 0"), WRITER, KEYS, 60, F.expr(NOW))
-    long = vault.entries(rows.where("doc_id % 3 <> 0"), WRITER, KEYS, 3600, F.expr(NOW))
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/loomspan-checkpoints"))
-    return short.union(long).checkpoint()
+TTL = "if(doc_id % 3 = 0, 60, 3600)"
+
+
+def _vault(rows: DataFrame) -> DataFrame:
+    """Vault rows of mappings: documents divisible by three expire after a minute. Keys are random, so the rows are written once and read again."""
+    return materialise(vault.entries(rows, WRITER, KEYS, F.expr(TTL), F.expr(NOW), keep=("doc_id",)))
 
 
 LATER = "timestamp'2030-01-01 00:10:00'"
@@ -563,22 +723,46 @@ LATER = "timestamp'2030-01-01 00:10:00'"
 
 @query(prelude() + _TOKENS + _HASHED + "SELECT doc_id AS document, token, typ AS entity_type, sha256(value) AS value_sha256 FROM th WHERE doc_id % 3 <> 0")
 def vault_resolve(spark, d):
-    requests = _mapping_rows(spark, d).select(F.col("doc_id").alias("document"), "token")
+    rows = materialise(_mapping_rows(spark, d))
+    requests = rows.select(F.col("doc_id").alias("document"), "token")
     unknown = requests.withColumn("token", F.concat(F.lit("<PII_PERSON:"), F.lit("0" * 32), F.lit(">")))
-    out = vault.resolved(requests.union(unknown), _vault(spark, d), WRITER, KEYS, F.expr(LATER))
+    out = vault.resolved(requests.union(unknown), _vault(rows), WRITER, KEYS, F.expr(LATER))
     return out.select("document", "token", "entity_type", F.sha2("value", 256).alias("value_sha256"))
 
 
-@query(prelude() + _TOKENS + _HASHED + "SELECT typ AS entity_type, count(*) FILTER (doc_id % 3 = 0) AS expired, count(*) FILTER (doc_id % 3 <> 0) AS active FROM th GROUP BY ALL")
-def vault_purge_counts(spark, d):
-    rows = _vault(spark, d)
-    gone = F.col("expires_at") <= F.expr(LATER)
-    return rows.groupBy("entity_type").agg(F.count_if(gone).alias("expired"), F.count_if(~gone).alias("active"))
+@query(prelude() + _TEXTS + " SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN tokenised ELSE text END) AS text_sha256 FROM tx")
+def vault_detokenized(spark, d):
+    """Texts restored from the vault: tokens of documents whose entries have expired stay."""
+    texts = _tokenised(spark, d)
+    held = _vault(tokenize.mapping_rows(texts))
+    out = vault.detokenise_from(texts, held, WRITER, KEYS, F.expr(LATER))
+    return out.select("doc_id", F.sha2("restored", 256).alias("text_sha256"))
 
 
-@query("SELECT unnest(['token_hash_length', 'nonce_length', 'ciphertext_length', 'expiry_order', 'primary_key']) AS rule, 0::BIGINT AS violations")
+@query(prelude() + _TOKENS + _HASHED + "SELECT typ AS entity_type, count(*) FILTER (doc_id % 3 = 0) AS expired, count(*) FILTER (doc_id % 3 <> 0) AS active FROM th GROUP BY ALL")
+def vault_purge_counts(spark, d):
+    """Rows by type that a purge of a stored vault removes and keeps."""
+    place = fresh_folder(spark, "vault")
+    vault.store(_mapping_rows(spark, d), place, WRITER, KEYS, F.expr(TTL), F.expr(NOW))
+    count = lambda name: vault.read(spark, place).groupBy("entity_type").agg(F.count(F.lit(1)).alias(name))
+    before = materialise(count("n"))
+    vault.purge(place, spark, F.expr(LATER))
+    after = materialise(count("active"))
+    remove(spark, place)
+    kept = F.coalesce("active", F.lit(0))
+    return before.join(after, "entity_type", "left").select("entity_type", (F.col("n") - kept).alias("expired"), kept.alias("active"))
+
+
+@query(prelude() + _TOKENS + _HASHED + """SELECT unnest(['token_hash_length', 'nonce_length', 'ciphertext_length', 'expiry_order', 'primary_key']) AS rule, unnest([count(*) FILTER (doc_id % 5 = 4), count(*) FILTER (doc_id % 5 = 1),
+    count(*) FILTER (doc_id % 5 = 2), count(*) FILTER (doc_id % 5 = 3), 2 * count(*) FILTER (doc_id % 5 = 0)]) AS violations FROM th""")
 def vault_constraint_violations(spark, d):
-    return vault.constraint_violations(_vault(spark, d))
+    """A vault in which every row breaks one rule, by document."""
+    rows, mode = _vault(_mapping_rows(spark, d)), F.col("doc_id") % 5
+    cut = lambda c, m, n: F.when(mode == m, F.substring(c, 1, n)).otherwise(F.col(c))
+    bad = rows.withColumns({
+        "token_hash": cut("token_hash", 4, 31), "nonce": cut("nonce", 1, crypto.NONCE - 1), "ciphertext": cut("ciphertext", 2, crypto.TAG - 1), "expires_at": F.when(mode == 3, F.col("created_at")).otherwise(F.col("expires_at")),
+    })
+    return vault.constraint_violations(bad.union(bad.where(mode == 0)))
 
 
 @query(prelude() + _TOKENS + "SELECT CAST(count(*) AS BIGINT) AS documents, CAST((SELECT count(DISTINCT doc_id) FROM tk) AS BIGINT) AS with_tokens, CAST((SELECT count(*) FROM (SELECT DISTINCT doc_id, token FROM tk)) AS BIGINT) AS tokens FROM documents")
@@ -590,14 +774,35 @@ def distinct_tokens(spark, d):
 # ---- leak scan and chat requests ---------------------------------------------------------------------------------
 
 
-@query(prelude() + """, v AS (SELECT DISTINCT value FROM (SELECT value FROM truth UNION ALL SELECT substr(text, 1, 40) FROM benchmark) WHERE length(value) >= 6),
+_VALUES = """, allv AS (SELECT value FROM truth UNION ALL SELECT substr(text, 1, 40) FROM benchmark), v AS (SELECT DISTINCT value FROM allv WHERE length(value) >= 6),
     h AS (SELECT d.doc_id, v.value, unnest(list_filter(range(1, length(d.text) - length(v.value) + 2), lambda p: substr(d.text, p, length(v.value)) = v.value)) AS p0 FROM documents d JOIN v ON contains(d.text, v.value)),
-    f AS (SELECT h.doc_id, value, p0 FROM h JOIN documents d USING (doc_id) WHERE (p0 = 1 OR NOT regexp_matches(substr(text, p0 - 1, 1), '[\\pL\\pN_]')) AND (p0 + length(value) > length(text) OR NOT regexp_matches(substr(text, p0 + length(value), 1), '[\\pL\\pN_]')))
-    SELECT doc_id, CASE WHEN NOT regexp_matches(value, '\\pL') THEN 'numeric' ELSE 'leak' END AS kind, count(*) AS hits FROM f GROUP BY ALL""")
+    f AS (SELECT h.doc_id, value, p0 FROM h JOIN documents d USING (doc_id) WHERE (p0 = 1 OR NOT regexp_matches(substr(text, p0 - 1, 1), '[\\pL\\pN_]')) AND (p0 + length(value) > length(text) OR NOT regexp_matches(substr(text, p0 + length(value), 1), '[\\pL\\pN_]'))),
+    tv AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS word FROM benchmark),
+    foreign_ AS (SELECT DISTINCT value FROM (SELECT value, lower(unnest(regexp_extract_all(value, '[A-Za-z_][A-Za-z0-9_]*'))) AS word FROM v) WHERE word NOT IN (SELECT word FROM tv)),
+    fv AS (SELECT value, NOT regexp_matches(value, '[^A-Za-z0-9_ ]') AND value NOT IN (SELECT value FROM foreign_) AS template FROM v),
+    kinds AS (SELECT doc_id, p0 - 1 AS o, length(value) AS n, CASE WHEN NOT regexp_matches(value, '\\pL') THEN 'numeric' WHEN template THEN 'template_vocabulary' ELSE 'leak' END AS kind FROM f JOIN fv USING (value))"""
+
+
+def _leaks(spark, d) -> DataFrame:
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    values = leakscan.sensitive_values(items, truth_of(matches(spark, d)))
+    return leakscan.leaks(docs.select("doc_id", "text"), values, leakscan.vocabulary(items, "text"), "doc_id", "text")
+
+
+@query(prelude() + _VALUES + " SELECT doc_id, kind, count(*) AS hits FROM kinds GROUP BY ALL")
 def leak_scan(spark, d):
-    docs = table(spark, d, "documents")
-    values = leakscan.sensitive_values(table(spark, d, "benchmark"), truth_of(matches(spark, d)))
-    return leakscan.leak_counts(leakscan.leaks(docs.select("doc_id", "text"), values, None, "doc_id", "text"), "doc_id")
+    """Hits by document and kind; the benchmark's words stand for what templates may print."""
+    return leakscan.leak_counts(_leaks(spark, d), "doc_id")
+
+
+@query(prelude() + _VALUES + ' SELECT doc_id, position, o AS "offset", n AS length FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, n) AS position FROM kinds WHERE kind = \'leak\') WHERE position <= 10')
+def first_leaks(spark, d):
+    return leakscan.first_leaks(_leaks(spark, d), "doc_id")
+
+
+@query(prelude() + ", allv AS (SELECT value FROM truth UNION ALL SELECT substr(text, 1, 40) FROM benchmark) SELECT count(DISTINCT value) AS distinct_values, count(*) AS values FROM allv WHERE length(value) >= 6")
+def leak_index_size(spark, d):
+    return leakscan.index_size(leakscan.sensitive_values(table(spark, d, "benchmark"), truth_of(matches(spark, d))))
 
 
 @query("""SELECT conv_id, count(*) AS messages, count(*) FILTER (role IS NULL OR role NOT IN ('system', 'user', 'assistant')) AS bad_roles, count(*) FILTER (coalesce(text, '') = '') AS empty_messages,
@@ -609,13 +814,18 @@ def chat_request_validation(spark, d):
     return out.select("conv_id", "messages", "bad_roles", "empty_messages", ((F.col("users") > 0) & (F.col("bad_roles") == 0) & (F.col("empty_messages") == 0)).alias("valid"))
 
 
-@query(prelude() + "SELECT typ AS entity_type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT typ, least(t, p) AS tp, greatest(p - t, 0) AS fp, greatest(t - p, 0) AS fn FROM (SELECT doc_id, typ, s, e, sum(t) AS t, sum(p) AS p FROM (SELECT doc_id, typ, s, e, 1 AS t, 0 AS p FROM truth UNION ALL SELECT doc_id, " + _TYPE + ", s, e, 0, 1 FROM c) GROUP BY ALL)) GROUP BY ALL")
+@query(prelude() + "SELECT typ AS entity_type, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM (SELECT typ, least(t, p) AS tp, greatest(p - t, 0) AS fp, greatest(t - p, 0) AS fn FROM (SELECT doc_id, typ, s, e, sum(t) AS t, sum(p) AS p FROM (SELECT doc_id, typ, s, e, 1 AS t, 0 AS p FROM truth UNION ALL SELECT doc_id, " + _TYPE + ", s, e, 0, 1 FROM (SELECT *, raw_label AS label FROM c0)) GROUP BY ALL)) GROUP BY ALL")
 def streaming_strict_counts(spark, d):
     """The streaming evaluation run to the end of the available files; its state lives in the shared folder."""
-    import uuid
-
     from ..streaming import evaluation
 
-    place = spark.conf.get("spark.checkpoint.dir", "/tmp/loomspan-checkpoints").rstrip("/")
-    docs = table(spark, d, "documents")
-    return evaluation.evaluate(spark, f"{d}/documents.parquet*", f"{place}/evaluation-{uuid.uuid4().hex}", docs.schema)
+    place, docs = fresh_folder(spark, "evaluation"), table(spark, d, "documents")
+    out = materialise(evaluation.evaluate(spark, f"{d}/documents.parquet*", place, docs.schema, scorer=streaming_scores))
+    remove(spark, place)
+    return out
+
+
+def streaming_scores(batch: DataFrame) -> DataFrame:
+    """Truth with the derived labels against the raw matches."""
+    found = detect.candidates(batch)
+    return scoring.strict_counts(scoring.match_counts(truth_of(derived(found)), scoring.mapped(found)))

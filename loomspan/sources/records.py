@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import store
+from .identity import StateError, checked_rows, digest, require_equal
+
 RAW = "uid string, text string, spans string, document_format string"
 NORMALISED = "example_index long, text string, entities array<struct<type:string,start:int,end:int>>"
 PREDICTION = "i long, c int, d int, p array<array<string>>"
@@ -29,11 +28,19 @@ def read_normalised(spark: SparkSession, path: str, limit: int | None = None) ->
 
 
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines without an index: the 0-based line number becomes ``example_index``. Two passes over the lines, no shuffle."""
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0]))
-    parsed = spark.createDataFrame(lines, "example_index long, line string")
-    record = F.from_json("line", "text string, entities array<struct<type:string,start:int,end:int>>", {"mode": "FAILFAST"})
-    return parsed.select("example_index", record.alias("r")).select("example_index", "r.*")
+    """JSON lines without an index: the 0-based line number becomes ``example_index``, files in the order of their names.
+
+    A line's place is its file and its position in the file's read order; only the counts per read task are added up in one place.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = store.materialise(lines)
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    numbered = lines.withColumn("inside", inside).join(offsets, ["file", "block"])
+    record = F.from_json("value", "text string, entities array<struct<type:string,start:int,end:int>>", {"mode": "FAILFAST"})
+    return numbered.select((F.col("offset") + F.col("inside")).alias("example_index"), record.alias("r")).select("example_index", "r.*")
 
 
 def write_normalised(df: DataFrame, path: str) -> None:
@@ -58,29 +65,75 @@ def source(spark: SparkSession, folder: str, name: str, dev_size: int = 10_000,
     raise ValueError("the source is dev or test")
 
 
-def canonical_sha256(value) -> str:
-    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()
+def encoded(df: DataFrame) -> DataFrame:
+    """Prediction records (i, c, d, p) in their stored form, p as arrays [label, start, end, score]; a malformed label fails the query."""
+    named = F.forall("p", lambda x: F.coalesce(x["label"].rlike(r"^[a-z][a-z0-9_]{0,63}$"), F.lit(False)))
+    values = F.transform("p", lambda x: F.array(x["label"], x["start"].cast("string"), x["end"].cast("string"), x["score"].cast("string")))
+    return checked_rows(df, ~F.coalesce(named, F.lit(False))).select("c", "d", "i", values.alias("p"))
 
 
 def write_predictions(df: DataFrame, path: str, identity: dict) -> None:
-    """Records i, c, d, p with p as arrays [label, start, end, score]; the identity goes to a sidecar beside the data."""
-    spark = df.sparkSession
-    values = F.transform("p", lambda x: F.array(x["label"], x["start"].cast("string"), x["end"].cast("string"), x["score"].cast("string")))
-    df.select("c", "d", "i", values.alias("p")).write.json(path)
-    head = {"format": FORMAT, "version": VERSION, "identity": identity, "identity_sha256": canonical_sha256(identity)}
-    spark.createDataFrame([(json.dumps(head, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}.header")
+    """All records at once; the identity goes to a sidecar beside the data."""
+    encoded(df).write.json(path)
+    write_header(df.sparkSession, path, identity)
+
+
+def write_header(spark: SparkSession, path: str, identity: dict) -> None:
+    store.write_json(spark, f"{path}.header", {"format": FORMAT, "version": VERSION, "identity": identity, "identity_sha256": digest(identity)})
 
 
 def read_header(spark: SparkSession, path: str) -> dict:
-    head = json.loads(spark.read.text(f"{path}.header").first()[0])
-    if head.get("format") != FORMAT or head.get("version") != VERSION or head.get("identity_sha256") != canonical_sha256(head.get("identity")):
-        raise ValueError("the predictions header is invalid")
+    head = store.read_json(spark, f"{path}.header")
+    if head.get("format") != FORMAT or head.get("version") != VERSION or head.get("identity_sha256") != digest(head.get("identity")):
+        raise StateError("the predictions header is invalid")
     return head
 
 
+class PredictionSink:
+    """Predictions written part by part, each durable before the next begins.
+
+    A part covers a range of example indices and is published by renaming its folder, so that a crash leaves whole parts and drafts; drafts are
+    removed on resume. Parts must follow each other, and the identity must be that of the first run.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, identity: dict, resume: bool = False, restart: bool = False):
+        if resume and restart:
+            raise StateError("a run either resumes or restarts")
+        there = store.exists(spark, f"{path}.header")
+        if there and not (resume or restart):
+            raise StateError("there are predictions already; resume or restart")
+        if resume and not there:
+            raise StateError("there are no predictions to resume")
+        self.spark, self.path, self.completed = spark, path, 0
+        if resume:
+            require_equal(read_header(spark, path)["identity"], identity, "the predictions' run")
+            for name in store.names(spark, path):
+                if name.startswith("_"):
+                    store.remove(spark, f"{path}/{name}")
+                    continue
+                first, _, last = name.removeprefix("part=").partition("-")
+                if int(first) != self.completed:
+                    raise StateError("the parts of the predictions do not follow each other")
+                self.completed = int(last)
+        else:
+            store.remove(spark, path)
+            write_header(spark, path, identity)
+
+    def append(self, df: DataFrame, last: int) -> None:
+        """The records of the examples from ``completed`` up to, not including, ``last``; others are an error."""
+        if last <= self.completed:
+            raise StateError("a part must go beyond what is there")
+        draft = f"{self.path}/_draft"
+        store.remove(self.spark, draft)
+        outside = F.col("i").isNull() | (F.col("i") < self.completed) | (F.col("i") >= last)
+        encoded(checked_rows(df, outside)).write.json(draft)
+        store.rename(self.spark, draft, f"{self.path}/part={self.completed:015d}-{last:015d}")
+        self.completed = last
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """example_index, chunks, duplicates_removed, predictions; a torn or malformed line fails the query."""
-    rows = spark.read.schema(PREDICTION).option("mode", "FAILFAST").json(path)
+    rows = spark.read.schema(PREDICTION).option("mode", "FAILFAST").option("recursiveFileLookup", "true").json(path)
     typed = F.transform("p", lambda x: F.struct(x[0].alias("label"), x[1].cast("int").alias("start"), x[2].cast("int").alias("end"), x[3].cast("double").alias("score")))
     return rows.select(F.col("i").alias("example_index"), F.col("c").alias("chunks"), F.col("d").alias("duplicates_removed"), typed.alias("predictions"))
 
@@ -92,21 +145,6 @@ def outside_repository(path: str, repository: str) -> str:
     return path
 
 
-def write_json_atomically(value, path: str) -> None:
-    """Written beside the target and renamed: readers see the old report or the new one."""
-    folder = os.path.dirname(os.path.abspath(path))
-    handle, name = tempfile.mkstemp(dir=folder)
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as f:
-            json.dump(value, f, sort_keys=True, indent=2)
-            f.flush()
-            os.fsync(f.fileno())
-        os.replace(name, path)
-    except BaseException:
-        os.path.exists(name) and os.unlink(name)
-        raise
-
-
 def report(overall: DataFrame, metrics: DataFrame, groups: DataFrame) -> dict:
     """Small aggregates as one nested value."""
     return {
@@ -124,6 +162,29 @@ def render_markdown(value: dict) -> str:
     return "\n".join(["# Span evaluation", "", head, "", *rows, "", "## Failure groups", "", *groups, ""])
 
 
+def signed(value: float) -> str:
+    return f"{value:+.4f}"
+
+
+def percent(value: float) -> str:
+    return f"{value:.1%}"
+
+
+def render_comparison(rows: list[dict]) -> str:
+    """The rows of a detector comparison as a Markdown table, by type."""
+    lines = ["| type | support | share | A F1 | B F1 | difference | stronger |", "|---|---:|---:|---:|---:|---:|---|"]
+    total = max(1, sum(r["support"] for r in rows))
+    for r in sorted(rows, key=lambda r: r["entity_type"]):
+        lines.append(f"| {r['entity_type']} | {r['support']:,} | {percent(r['support'] / total)} | {r['a_f1']:.4f} | {r['b_f1']:.4f} | {signed(r['delta_f1'])} | {r['strength']} |")
+    return "\n".join(["# Detector comparison", "", *lines, ""])
+
+
+def write_report(spark: SparkSession, value: dict, path: str) -> None:
+    """The report as JSON and as Markdown, each file published whole."""
+    store.write_json(spark, f"{path}.json", value)
+    store.write_text(spark, f"{path}.md", render_markdown(value))
+
+
 def comparable(a: dict, b: dict) -> None:
     """Two reports may be compared if they are of the same examples."""
     for key in ("examples", "support"):
@@ -131,13 +192,25 @@ def comparable(a: dict, b: dict) -> None:
             raise ValueError(f"the reports differ in {key}")
 
 
-def identity_differences(a: dict, b: dict, prefix: str = "") -> list[str]:
-    """Dotted paths whose values differ; the values are not shown."""
-    out = []
-    for k in sorted(a.keys() | b.keys()):
-        x, y = a.get(k), b.get(k)
-        if isinstance(x, dict) and isinstance(y, dict):
-            out += identity_differences(x, y, f"{prefix}{k}.")
-        elif x != y or (k in a) != (k in b):
-            out.append(prefix + k)
-    return out
+def read_label_map(value: dict, ontology: dict[str, str]) -> tuple[str, str, dict[str, str]]:
+    """(model, revision, labels) of a detector's label map.
+
+    It pins a model and its revision and maps native labels to gateway types. Where the ontology maps a label otherwise, a written reason
+    must stand under ``deviations``; types must exist, and reasons may only name labels that are there.
+    """
+    model, revision, labels, reasons = value.get("model_id"), value.get("model_revision"), value.get("labels"), value.get("deviations") or {}
+    rules = {
+        "a pinned model and revision are missing": all(isinstance(x, str) and x for x in (model, revision)),
+        "labels are missing": isinstance(labels, dict) and bool(labels),
+        "deviations need written reasons": isinstance(reasons, dict) and all(isinstance(r, str) and r.strip() for r in reasons.values()),
+    }
+    if isinstance(labels, dict):
+        known = {*ontology.values(), "UNMAPPED"}
+        rules |= {
+            "a label is empty": all(isinstance(x, str) and x for x in labels), "a type is unknown": all(t in known for t in labels.values()),
+            "a label departs from the ontology without a reason": all(ontology.get(x, t) == t or x in reasons for x, t in labels.items()),
+            "a reason names no label": isinstance(reasons, dict) and reasons.keys() <= labels.keys(),
+        }
+    if broken := [rule for rule, holds in rules.items() if not holds]:
+        raise StateError("the label map is invalid: " + "; ".join(broken))
+    return model, revision, dict(labels)
