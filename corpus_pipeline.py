@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: every stage takes (spark, docs, sf_dir), is written as Parquet and reread.
 
 quality: drops documents that the classifier rejects. near_duplicates: keeps the smallest id of every group (five words,
-similarity 0.8). decontaminate: drops documents of which a twentieth or more is benchmark text. pii: replaces personal data by its kind.
+similarity 0.8). decontaminate: drops documents that hold a
+passage of a benchmark item (13 words), or of which a twentieth or more is benchmark text. pii: replaces personal data by its kind.
 mix: one row per copy that the mix draws, with its shard.
 """
 
@@ -40,8 +41,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.with_digest(decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns))
-    return found.where("not contaminated").select(docs.columns)
+    """Drops documents with a whole window of benchmark words, however long they are; null and empty texts stay, an empty benchmark drops nothing."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
