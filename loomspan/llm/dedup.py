@@ -6,10 +6,13 @@
    below the mean, without replacement; exact for sets that the sketch holds whole). Nodes with fewer shared values cannot link and
    leave here; of the others only the rarest values that the prefix principle requires stay in the lists, which keeps
    common passages out of them.
-3. First round: in every list the node with the most common values is the pivot and all others are compared with it.
-   Second round: what is still in different components is compared pair by pair, each pair at its first common value, unless the
-   number of hashes that nobody else has (of those below both sketches' ends), or in long lists the differences of both to the majority of its group, already rule the pair out. Components shrink the large groups of near copies
-   before any pair is listed, and no list is capped.
+3. Star rounds: in every list the node with the most common values is the pivot and all others are compared with it; what is still in
+   different components gets another pivot, ROUNDS times in all. Components shrink the large groups of near copies before any pair is listed.
+   Last round: what is left in lists of up to LONG_LIST nodes is compared pair by pair, each pair at its first common value. In longer lists the sets are
+   described by their difference to the first pivot: of two that link, at least one is beyond the threshold from the pivot, hence they share a
+   known number of elements of these differences, and only nodes with a common element in the rare part of the differences that this requires
+   meet (the prefix principle again, on what sets a group's members apart). Bit maps of the sets, whose differing bits are differing elements, rule out the rest
+   before it becomes a row. No list is capped.
 4. Pairs pass the union-sketch estimate and are then confirmed on the full sets.
 5. Components by minimum labels with pointer jumping, distributed; nothing but counts reaches the driver.
 """
@@ -26,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..sources.store import fresh_folder, remove
 from .common import map_batches, map_partitions, materialise, table, text_of
 
 SHINGLE, PERCENT = 3, 85
 INDEX, SKETCH = 48, 160
 SIGMAS = 5.0
-LONG_LIST = 64  # from here on a list's pairs are also bounded through the majority set of its pivot's group
+ROUNDS = 2  # star rounds
+LONG_LIST = 64  # longer lists are joined on differences to their pivot instead of on their value
+WORDS = 8  # 64-bit words of a set's bit map
 BROADCAST_NODES = 1_000_000  # ids shipped to filter the documents that full sets are built from (8 bytes each)
 WORD_CACHE = 300_000
 
@@ -161,28 +167,60 @@ def components(edges: DataFrame) -> DataFrame:
         after = materialise(after)
         changed = after.join(labels.select("node", F.col("label").alias("was")), "node").where("label <> was").limit(1).count()
         labels = after
+        del told, nearest, up, after
+        release(edges.sparkSession)
         if not changed:
             return labels
 
 
-def differences(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """How every member (node, pivot) differs from its group's majority set, the hashes that more than half of the group have.
+def bit_maps(nodes: DataFrame) -> DataFrame:
+    """node, m0 .. m7: a bit map of every set that its sketch holds whole. A bit that differs between two maps is at least one element that differs."""
 
-    more: hashes outside the majority set, odd: those of them that another member has too, less: hashes of the majority set that are lacking.
-    Two members differ by at least more + more - 2 * (odd in common) + the difference of less, whatever the majority set is.
+    def run(batch):
+        lists = batch.column(1)
+        sizes = np.diff(lists.offsets.to_numpy())
+        slots = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint64) & np.uint64(64 * WORDS - 1)
+        maps = np.zeros((batch.num_rows, WORDS), np.uint64)
+        np.bitwise_or.at(maps, (np.repeat(np.arange(batch.num_rows), sizes), (slots >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (slots & np.uint64(63)))
+        return {"node": batch.column(0)} | {f"m{k}": maps[:, k].astype(np.int64) for k in range(WORDS)}
+
+    return map_batches(nodes.select("node", "sketch"), run, "node long, " + ", ".join(f"m{k} long" for k in range(WORDS)))
+
+
+def maps_allow(percent: int):
+    """Whether two whole sets may be similar enough by the differing bits of their maps; true where a set is larger than its sketch."""
+    bits = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(WORDS)), F.lit(0))
+    return (F.greatest("n_a", "n_b") > SKETCH) | ((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+
+def difference_pairs(members: DataFrame, facts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different labels that may link, among the members (pivot, node) of every pivot's group.
+
+    With D the difference of a set to the pivot P, q = (100 - percent) / (100 + percent) and n the sizes, sets A and B link if the difference of D(A)
+    and D(B) has at most q * (n(A) + n(B)) elements. If B is beyond the threshold from P, more than q * (n(B) + n(P)) elements are in D(B), so A and B share
+    more than (D(A) + q * (n(P) - n(A))) / 2 of them. Members within the threshold from P are in its component: one of the two is always beyond. A's prefix are the
+    rarest elements of D(A) of which one at least must then be in D(B), and in B's own prefix if A is beyond the threshold as well.
     """
-    each = members.join(nodes.select("node", "sketch"), "node").select("pivot", "node", F.explode("sketch").alias("v"))
-    sizes = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("members"))
-    counts = each.groupBy("pivot", "v").agg(F.count(F.lit(1)).alias("c")).join(sizes, "pivot").withColumn("major", 2 * F.col("c") > F.col("members"))
-    counts = materialise(counts.select("pivot", "v", "c", "major"))
-    release(members.sparkSession)
-    majority = counts.where("major").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
-    marked = each.join(counts.where("c > 1"), ["pivot", "v"], "left")
-    per = marked.groupBy("pivot", "node").agg(
-        F.count_if(~F.coalesce("major", F.lit(False))).alias("more"), F.count_if(F.coalesce("major", F.lit(False))).alias("have"),
-        F.collect_list(F.when((F.col("c") > 1) & ~F.col("major"), F.col("v"))).alias("odd"),
-    )
-    return per.join(majority, "pivot", "left").select("node", "pivot", "more", "odd", (F.coalesce("size", F.lit(0)) - F.col("have")).alias("less"))
+    sets = nodes.select("node", "n", "sketch")
+    pivot_sets = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("sketch").alias("sketch_p"))
+    apart = F.concat(F.array_except("sketch", "sketch_p"), F.array_except("sketch_p", "sketch"))
+    d = members.join(sets, "node").join(pivot_sets, "pivot").select("pivot", "node", "n", "n_p", apart.alias("d"))
+    d = materialise(d.withColumn("beyond", (100 + percent) * F.size("d") > (100 - percent) * (F.col("n") + F.col("n_p"))))
+    counts = d.select("pivot", F.explode("d").alias("v")).groupBy("pivot", "v").agg(F.count(F.lit(1)).alias("c"))
+    # an element that one member alone has cannot be shared, but it takes a place in the prefix
+    shared = d.select("pivot", "node", F.explode("d").alias("v")).join(counts.where("c > 1"), ["pivot", "v"])
+    ordered = shared.groupBy("pivot", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda x: x["v"]).alias("shared"))
+    least = F.floor(((100 + percent) * F.size("d") + (100 - percent) * (F.col("n_p") - F.col("n"))) / (2 * (100 + percent))) + 1
+    length = F.size("d") - least + 1 - (F.size("d") - F.size("shared"))
+    keyed = d.join(ordered, ["pivot", "node"]).select("pivot", "node", "n", "beyond", "shared", length.cast("int").alias("length")).join(facts.drop("n"), "node")
+    maps = [f"m{k}" for k in range(WORDS)]
+    posted = materialise(keyed.select("pivot", "node", "n", "label", "beyond", *maps, F.posexplode("shared").alias("at", "v"), (F.col("at") < F.col("length")).alias("prefix")).where("prefix or beyond"))
+    side = lambda x, rows: rows.select("pivot", "v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label", "beyond", "prefix", *maps)))
+    once = ~F.col("beyond_a") | (F.col("prefix_b") & (F.col("node_a") < F.col("node_b")))
+    fits = (F.col("label_a") != F.col("label_b")) & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & once & maps_allow(percent)
+    left, right = side("a", posted.where("prefix")).alias("l"), side("b", posted.where("beyond")).alias("r")
+    pairs = left.join(right, (F.col("l.pivot") == F.col("r.pivot")) & (F.col("l.v") == F.col("r.v")) & fits)
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
 def upper(v):
@@ -190,17 +228,16 @@ def upper(v):
     return F.shiftright(v, 32).cast("int")
 
 
-def possible(p: float):
-    """Whether lonely hashes (alone, far) leave room for similarity p: I / (I + lonely) >= p, with I at most what is not lonely.
+def possible(p: float, percent: int):
+    """Whether two sets leave room for similarity p: by their bit maps, or, where a set is larger than its sketch, by the hashes that nobody else has.
 
-    Sets that their sketches hold whole: by counts, exact. Otherwise a hash that no other sketch has is known to be lacking in the other set only below
-    the ends of both sketches; there neither set has more than SKETCH hashes, and what passes ``estimate`` with its slack passes here.
+    A hash that no other sketch has is known to be lacking in the other set only below the ends of both sketches; there neither set has
+    more than SKETCH hashes, and what passes ``estimate`` with its slack passes here: I / (I + lonely) >= p, with I at most what is not lonely.
     """
-    counted = F.col("alone_a") + F.col("alone_b") <= (1 / p - 1) * F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b")) + 1e-9
     below = lambda c: F.coalesce(F.size(F.filter(c, lambda v: v < F.least("end_a", "end_b"))), F.lit(0))
     least = p - _deviation(SKETCH, F.greatest("n_a", "n_b").cast("double"), p) / SKETCH
     sampled = below("far_a") + below("far_b") <= (1 / least - 1) * (SKETCH - F.greatest(below("far_a"), below("far_b"))) + 1e-9
-    return F.when(F.greatest("n_a", "n_b") <= SKETCH, counted).otherwise(sampled)
+    return F.when(F.greatest("n_a", "n_b") <= SKETCH, maps_allow(percent)).otherwise(sampled)
 
 
 def release(spark: SparkSession) -> None:
@@ -209,6 +246,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def still_open(posted: DataFrame) -> DataFrame:
+    """The rows (value, label, ...) of the lists that hold more than one component."""
+    several = posted.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
+    return posted.join(several, "value")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, keys: bool = False) -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable over links of ``percent`` or more), kept.
 
@@ -217,8 +260,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept if the id is the smallest. An empty table gives no rows. ``keys`` adds node (key of the row's set) and label (its component's smallest node).
     """
     spark, p = df.sparkSession, percent / 100
-    sigs = materialise(signatures(df, id_col, text_col, shingle))
-    nodes = materialise(sigs.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    place = fresh_folder(spark, "signatures")
+    signatures(df, id_col, text_col, shingle).write.parquet(f"{place}/rows")
+    drawn = spark.read.parquet(f"{place}/rows")
+    sigs = materialise(drawn.select("id", "node", "n"))
+    drawn.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).write.parquet(f"{place}/nodes")
+    nodes = spark.read.parquet(f"{place}/nodes")
+    reps = materialise(nodes.select("node", "rep"))
     release(spark)
     entries = nodes.select("node", "n", F.explode(F.slice("sketch", 1, INDEX)).alias("value"))
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -227,62 +275,77 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lists = materialise(per_node.select("node", "n", F.expr("aggregate(values, 0L, (s, x) -> s + x.df)").alias("common"), F.transform(F.slice("values", 1, F.col("spare") + 1), lambda x: x["value"]).alias("prefix")))
     release(spark)
 
-    sides = nodes.select("node", "n", "sketch")
-
+    # only the sketches of nodes that may link go on; the others' tables are removed
+    live = materialise(nodes.join(lists.select("node"), "node", "left_semi").select("node", "n", "sketch"))
+    remove(spark, place)
+    release(spark)
     def with_sketches(pairs: DataFrame) -> DataFrame:
-        left = sides.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"))
-        right = sides.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"))
+        left = live.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sk_a"))
+        right = live.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sk_b"))
         return pairs.join(left, "a").join(right, "b")
 
     similar_size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     postings = lists.select("node", "n", "common", F.explode("prefix").alias("value"))
-    pivots = postings.groupBy("value").agg(F.max(F.struct("common", "node", "n")).alias("pivot"), F.count(F.lit(1)).alias("length")).where("length > 1")
+    best = F.struct("common", "node", "n")
+    pivots = postings.groupBy("value").agg(F.max(best).alias("pivot"), F.max(F.when(F.col("n") <= SKETCH, best)).alias("small"), F.count(F.lit(1)).alias("length")).where("length > 1")
     pivots = materialise(pivots)
-    stars = postings.join(pivots, "value").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b")).where((F.col("a") != F.col("b")) & similar_size).select("a", "b").distinct()
-    passed = materialise(estimate(with_sketches(stars), p))
-    # of the pairs that need full sets, every node's closest; the second round sees the others again
-    closest = passed.where("not certain").groupBy("a").agg(F.max(F.struct("jaccard", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    edges = materialise(passed.where("certain").select("a", "b").union(confirm(closest, df, nodes, id_col, text_col, shingle, percent)))
+    edges, labels = None, None
+
+    def compare(stars: DataFrame) -> DataFrame:
+        """Edges among the pairs of a star round."""
+        passed = materialise(estimate(with_sketches(stars), p))
+        # of the pairs that need full sets, every node's closest; later rounds see the others again
+        release(spark)
+        closest = passed.where("not certain").groupBy("a").agg(F.max(F.struct("jaccard", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        return passed.where("certain").select("a", "b").union(confirm(closest, df, reps, id_col, text_col, shingle, percent))
+
+    # first round: with the pivot and with the best node whose sketch is its whole set, to which differences are taken later
+    both = pivots.select("value", F.explode(F.array_distinct(F.array_compact(F.array("pivot", "small")))).alias("pivot"))
+    stars = postings.join(both, "value").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b"))
+    edges = materialise(compare(stars.where((F.col("a") != F.col("b")) & similar_size).select("a", "b").distinct()))
     release(spark)
     labels = components(edges)
-
-    # second round: pairs in different components
-    comp = lists.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"))
-    posted = comp.select("node", "n", "label", F.explode("prefix").alias("value"))
-    open_values = posted.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("value")
-    group = F.when(F.col("length") > LONG_LIST, F.col("pivot.node")).alias("pivot")
-    open_values = open_values.join(pivots, "value").select("value", group)
-    still = materialise(posted.join(open_values, "value").select("value", "node", "n", "pivot"))
+    tried = pivots.select("value", F.col("pivot.node").alias("tried")).union(pivots.where("small is not null").select("value", "small.node"))
+    for _ in range(ROUNDS - 1):
+        posted = materialise(still_open(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))))
+        taken = tried.join(labels, F.col("tried") == F.col("node"), "left").groupBy("value").agg(F.collect_set(F.coalesce("label", "tried")).alias("taken"))
+        following = posted.join(taken, "value").where(~F.array_contains("taken", F.col("label"))).groupBy("value").agg(F.max(F.struct("common", "node", "n", "label")).alias("pivot"))
+        following = materialise(following)
+        stars = posted.join(following, "value").where(F.col("label") != F.col("pivot.label")).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b"))
+        edges = materialise(edges.union(compare(stars.where(similar_size).select("a", "b").distinct())))
+        release(spark)
+        labels = components(edges)
+        tried = tried.union(following.select("value", "pivot.node"))
+
+    # last round: pairs in different components
+    posted = still_open(lists.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("value")))
+    reference = F.when(F.col("length") > LONG_LIST, F.col("small.node"))
+    posted = posted.join(pivots.select("value", reference.alias("pivot")), "value")
+    posted = materialise(posted.withColumn("grouped", F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)))
     release(spark)
-    concerned = comp.join(still.select("node").distinct(), "node", "left_semi")
-    sketched = nodes.join(still.select("node").distinct(), "node", "left_semi")
+    concerned = posted.select("node", "n", "label", "prefix").dropDuplicates(["node"])
+    sketched = live.join(concerned.select("node"), "node", "left_semi")
     own = sketched.select("node", (F.col("n") > SKETCH).alias("long"), F.explode("sketch").alias("v"))
-    lonely = own.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("c")).where("c = 1"), "v", "left_semi").groupBy("node").agg(
-        F.count(F.lit(1)).alias("alone"), F.collect_list(F.when(F.col("long"), upper(F.col("v")))).alias("far")
-    )
+    lonely = own.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max("long").alias("any")).where("c = 1 and any"), "v", "left_semi").groupBy("node").agg(F.collect_list(upper(F.col("v"))).alias("far"))
     ends = sketched.where(F.col("n") > SKETCH).select("node", upper(F.element_at("sketch", -1)).alias("end"))
-    facts = concerned.join(lonely, "node", "left").join(ends, "node", "left")
-    facts = materialise(facts.select("node", "n", "label", "prefix", F.coalesce("alone", F.lit(0)).alias("alone"), "far", "end"))
-    release(spark)
-    members = still.where(F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)).select("node", "pivot").distinct()
-    still = still.select("value", "node", "pivot").join(differences(members, nodes), ["node", "pivot"], "left").join(facts, "node")
-    columns = ("node", "n", "label", "prefix", "alone", "far", "end", "more", "less", "odd")
-    still = materialise(still.select("value", *columns))
+    maps = bit_maps(sketched.where(F.col("n") <= SKETCH))
+    facts = materialise(concerned.join(lonely, "node", "left").join(ends, "node", "left").join(maps, "node", "left"))
     release(spark)
-    left = still.select("value", *(F.col(c).alias(f"{c}_a") for c in columns))
-    right = still.select("value", *(F.col(c).alias(f"{c}_b") for c in columns))
-    # hashes that differ for certain: additions not in common, and the difference of what is lacking
-    differing = F.col("more_a") + F.col("more_b") - 2 * F.size(F.array_intersect("odd_a", "odd_b")) + F.abs(F.col("less_a") - F.col("less_b"))
-    near = F.col("more_a").isNull() | F.col("more_b").isNull() | (differing <= (1 - p) / (1 + p) * (F.col("n_a") + F.col("n_b")) + 1e-9)
-    first_common = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == left["value"]
-    pairs = left.join(right, (left["value"] == right["value"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & similar_size & possible(p) & near & first_common)
-    passed = materialise(estimate(with_sketches(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), p))
-    more = passed.where("certain").select("a", "b").union(confirm(passed.where("not certain").select("a", "b"), df, nodes, id_col, text_col, shingle, percent))
+    columns = ("node", "n", "label", "prefix", "far", "end", *(f"m{k}" for k in range(WORDS)))
+    side = lambda x, rows: rows.select("value", "grouped", "node").join(facts, "node").select("value", F.col("grouped").alias(f"grouped_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    left, right = side("a", posted.where("not grouped")).alias("l"), side("b", posted).alias("r")
+    first_common = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("l.value")
+    once = F.col("grouped_b") | (F.col("node_a") < F.col("node_b"))
+    pairs = left.join(right, (F.col("l.value") == F.col("r.value")) & once & (F.col("label_a") != F.col("label_b")) & similar_size & possible(p, percent) & first_common).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    members = posted.where("grouped").select("pivot", "node").distinct()
+    pairs = pairs.union(difference_pairs(members, facts.select("node", "n", "label", *(f"m{k}" for k in range(WORDS))), live, percent)).distinct()
+    passed = materialise(estimate(with_sketches(pairs), p))
+    more = passed.where("certain").select("a", "b").union(confirm(passed.where("not certain").select("a", "b"), df, reps, id_col, text_col, shingle, percent))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = components(stars.union(more))
     release(spark)
 
-    named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = reps.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     named = named.join(smallest, "label").select("node", "component_id", *(["label"] if keys else []))
     out = sigs.select("id", "node", "n").join(named, "node", "left")

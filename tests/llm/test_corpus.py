@@ -168,14 +168,14 @@ def test_near_duplicates_equal_brute_force(spark, size, percent):
 
 
 @pytest.mark.parametrize("size, percent, cases", [(3, 85, [(120, 141), (150, 176), (170, 200), (170, 195), (176, 200), (250, 290), (1000, 1150)]), (5, 80, [(130, 162), (170, 210), (400, 490)])])
-def test_near_duplicates_of_unequal_size_in_round_two(spark, monkeypatch, size, percent, cases):
+def test_near_duplicates_of_unequal_size_in_the_last_round(spark, monkeypatch, size, percent, cases):
     estimate, calls = dedup.estimate, []
 
-    def second_round_only(pairs, p):
+    def last_round_only(pairs, p):
         calls.append(p)
-        return estimate(pairs, p) if len(calls) > 1 else estimate(pairs, p).where("false")
+        return estimate(pairs, p) if len(calls) > dedup.ROUNDS else estimate(pairs, p).where("false")
 
-    monkeypatch.setattr(dedup, "estimate", second_round_only)
+    monkeypatch.setattr(dedup, "estimate", last_round_only)
     texts = []
     for c, (small, large) in enumerate(cases * 4):
         words = [f"a{c}x{i}" for i in range(large + size - 1)]
@@ -183,7 +183,42 @@ def test_near_duplicates_of_unequal_size_in_round_two(spark, monkeypatch, size,
     want, sizes = brute_components(texts, size, percent)
     assert want == [i - i % 2 for i in range(len(texts))] and sizes[:2] == list(cases[0])
     got = {r.doc_id: r.component_id for r in dedup.near_duplicates(frame(spark, texts), shingle=size, percent=percent).collect()}
-    assert [got[i] for i in range(len(texts))] == want and len(calls) == 2
+    assert [got[i] for i in range(len(texts))] == want and len(calls) == dedup.ROUNDS + 1
+
+
+@pytest.mark.parametrize("size, percent", [(3, 85), (5, 80)])
+def test_near_duplicates_in_long_lists(spark, monkeypatch, size, percent):
+    """Large groups of near copies around the threshold: lists far beyond the length that is compared pair by pair."""
+    monkeypatch.setattr(dedup, "LONG_LIST", 6)
+    rnd, texts = random.Random(size + 10), []
+    for g, length in enumerate((30, 60, 110, 150, 230)):
+        base = [f"g{g}w{i}" for i in range(length)]
+        for k in range(40):
+            words = list(base)
+            for _ in range(rnd.randint(0, max(1, length // 18))):
+                at, roll = rnd.randrange(len(words)), rnd.random()
+                words[at : at + 1] = [] if roll < 0.3 else [f"x{rnd.randrange(3)}" if roll < 0.6 else f"e{rnd.randrange(10**6)}"]
+            texts.append(" ".join(words + [f"tail{i}" for i in range(rnd.randint(0, length // 6))]))
+    want, _ = brute_components(texts, size, percent)
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(frame(spark, texts), shingle=size, percent=percent).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 20 < len(set(want)) < 190, len(set(want))
+
+
+def test_pairs_of_differences_are_complete(spark):
+    """Every link between members of a group is among the pairs, and few others are."""
+    rnd = random.Random(3)
+    for percent in (80, 85):
+        base = rnd.sample(range(2**40), 90)
+        sets = [sorted({*rnd.sample(base, len(base) - rnd.randint(0, 14)), *(rnd.randrange(2**40) for _ in range(rnd.randint(0, 12)))}) for _ in range(120)]
+        sets += [sorted({*x[: len(x) - 3], rnd.randrange(2**40)}) for x in sets[:30]]
+        jaccard = lambda a, b: 100 * len(set(a) & set(b)) >= percent * len(set(a) | set(b))
+        label = [0 if jaccard(x, sets[0]) else i for i, x in enumerate(sets)]
+        nodes = spark.createDataFrame([(i, len(x), x) for i, x in enumerate(sets)], "node long, n long, sketch array<long>")
+        facts = nodes.select("node", "n").join(spark.createDataFrame(list(enumerate(label)), "node long, label long"), "node").join(dedup.bit_maps(nodes), "node")
+        members = nodes.select(F.lit(0).cast("long").alias("pivot"), "node")
+        pairs = {(r.a, r.b) for r in dedup.difference_pairs(members, facts, nodes, percent).collect()}
+        links = {(i, j) for j in range(len(sets)) for i in range(j) if label[i] != label[j] and jaccard(sets[i], sets[j])}
+        assert links and links <= pairs and len(pairs) < 3 * len(links) + 50, (len(links), len(pairs))
 
 
 def test_near_duplicates_edges(spark):
@@ -334,8 +369,10 @@ def brute_hits(text, items):
     return len(doc), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
-def test_decontamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("bits", [1 << 20, 64])
+def test_decontamination_equals_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(decontam, "LEAST_BITS", bits)
+    monkeypatch.setattr(decontam, "MOST_BITS", bits)
     rnd = random.Random(8)
     items = [(i, prose(rnd, rnd.choice([1, 5, 13, 30]))) for i in range(20)] + [(20, None), (21, "..."), (22, "É été-1")]
     texts = list(ODD[:6])
@@ -344,7 +381,7 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
         texts.append(f"{prose(rnd, rnd.randint(0, 40))}, {' '.join(piece.split()[rnd.randrange(3):])} {prose(rnd, 20).upper()}")
     texts.append("xx É, éTÉ 1 yy")
     bench = spark.createDataFrame([*items, (None, "lorem")], "item_id long, text string")
-    out = decontam.with_digest(decontam.decontaminate(frame(spark, texts), bench, block_bytes=block_bytes)).collect()
+    out = decontam.with_digest(decontam.decontaminate(frame(spark, texts), bench)).collect()
     assert len(out) == len(texts)
     for r in out:
         n, hit, found = brute_hits(texts[r.doc_id], items)
@@ -352,6 +389,31 @@ def test_decontamination_equals_brute_force(spark, block_bytes):
         assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
     assert decontam.decontaminate(frame(spark, texts), bench.limit(0)).where("size(spans) > 0").count() == 0
+    assert decontam.decontaminate(frame(spark, texts).limit(0), bench).count() == 0
+
+
+def test_runs_of_hits():
+    rnd = np.random.default_rng(1)
+    for _ in range(200):
+        hit, least = rnd.random(rnd.integers(0, 40)) < 0.7, int(rnd.integers(1, 6))
+        text = "".join("x" if h else " " for h in hit)
+        want = [any(m.start() <= i < m.end() for m in re.finditer(f"x{{{least},}}", text)) for i in range(len(hit))]
+        assert decontam.in_runs(hit, least).tolist() == want
+
+
+def test_passages_in_long_texts_are_dropped(spark):
+    """A passage of 13 words in 2,000; a short item's words are no passage."""
+    rnd = random.Random(21)
+    item = " ".join(f"item{i}" for i in range(40))
+    long = lambda: prose(rnd, 2000)
+    texts = [f"{long()} {' '.join(item.split()[9:22])} {long()}", f"{long()} {' '.join(item.split()[9:21])} {long()}", f"{long()} few words {long()}", "few words here", None, "", long()]
+    df = frame(spark, texts).withColumns({"n_hit": F.lit(7), "items": F.lit("x"), "key": F.lit(1), "contaminated": F.lit("keep"), "__key": F.lit(2), "window": F.lit(3)})
+    bench = spark.createDataFrame([(1, item), (2, "few words")], "item_id long, text string")
+    out = decontam.drop_contaminated(df, bench)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 2, 4, 5, 6] and {(r.n_hit, r.contaminated, r["__key"]) for r in rows} == {(7, "keep", 2)}
+    assert decontam.drop_contaminated(df, bench.limit(0)).count() == len(texts)
 
 
 # ---- op 6 ----------------------------------------------------------------------------------------------------
