@@ -40,6 +40,7 @@ LONG_LIST = 64  # longer lists are joined on differences to their pivot instead
 WORDS = 8  # 64-bit words of a set's bit map
 BROADCAST_NODES = 1_000_000  # ids shipped to filter the documents that full sets are built from (8 bytes each)
 WORD_CACHE = 300_000
+BROADCAST_LABELS, ROWS_PER_TASK = 200_000, 4_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
@@ -124,7 +125,7 @@ def estimate(pairs: DataFrame, p: float) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Links among ``pairs`` (a, b) by exact similarity of the full sets, rebuilt from the texts of the nodes concerned only."""
-    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
+    wanted = compact(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
     n = wanted.count()
     if not n:
         return pairs.select("a", "b")
@@ -155,22 +156,39 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, te
     return map_batches(both, check, "a long, b long")
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Written out, and read in partitions of about ROWS_PER_TASK rows: what a round leaves is small, and so should be the number of its tasks."""
+    out = materialise(df)
+    return out.coalesce(out.count() // ROWS_PER_TASK + 1)
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) with label the smallest node of the component, for every node that has an edge."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    """(node, label) with label the smallest node of the component, for every node that has an edge.
+
+    Labels of up to BROADCAST_LABELS nodes (16 bytes each) are broadcast and kept in few partitions, larger ones are joined by shuffle.
+    """
+    both = compact(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    n, before = labels.agg(F.count(F.lit(1)), _sum(F.col("label"))).first()
+    small = n <= BROADCAST_LABELS
+    few = (lambda df: df.coalesce(n // ROWS_PER_TASK + 1)) if small else lambda df: df
+    hint = F.broadcast if small else lambda df: df
+    labels = few(labels)
     while True:
-        told = both.join(labels, both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
-        nearest = told.union(labels).groupBy("node").agg(F.min("label").alias("label"))
+        told = both.join(hint(labels), both["a"] == labels["node"]).select(F.col("b").alias("node"), "label")
+        nearest = few(told.union(labels).groupBy("node").agg(F.min("label").alias("label")))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        after = nearest.join(up, "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label"))
-        after = materialise(after)
-        changed = after.join(labels.select("node", F.col("label").alias("was")), "node").where("label <> was").limit(1).count()
-        labels = after
-        del told, nearest, up, after
+        labels = materialise(nearest.join(hint(up), "label", "left").select("node", F.least("label", F.coalesce("above", "label")).alias("label")))
+        del told, nearest, up
         release(edges.sparkSession)
-        if not changed:
+        after = labels.agg(_sum(F.col("label"))).first()[0]  # labels only fall: the same sum is the same labels
+        if after == before:
             return labels
+        before = after
+
+
+def _sum(label):
+    return F.sum(label.cast("decimal(28,0)"))
 
 
 def bit_maps(nodes: DataFrame) -> DataFrame:
@@ -205,7 +223,7 @@ def difference_pairs(members: DataFrame, facts: DataFrame, nodes: DataFrame, per
     pivot_sets = sets.select(F.col("node").alias("pivot"), F.col("n").alias("n_p"), F.col("sketch").alias("sketch_p"))
     apart = F.concat(F.array_except("sketch", "sketch_p"), F.array_except("sketch_p", "sketch"))
     d = members.join(sets, "node").join(pivot_sets, "pivot").select("pivot", "node", "n", "n_p", apart.alias("d"))
-    d = materialise(d.withColumn("beyond", (100 + percent) * F.size("d") > (100 - percent) * (F.col("n") + F.col("n_p"))))
+    d = compact(d.withColumn("beyond", (100 + percent) * F.size("d") > (100 - percent) * (F.col("n") + F.col("n_p"))))
     counts = d.select("pivot", F.explode("d").alias("v")).groupBy("pivot", "v").agg(F.count(F.lit(1)).alias("c"))
     # an element that one member alone has cannot be shared, but it takes a place in the prefix
     shared = d.select("pivot", "node", F.explode("d").alias("v")).join(counts.where("c > 1"), ["pivot", "v"])
@@ -214,7 +232,7 @@ def difference_pairs(members: DataFrame, facts: DataFrame, nodes: DataFrame, per
     length = F.size("d") - least + 1 - (F.size("d") - F.size("shared"))
     keyed = d.join(ordered, ["pivot", "node"]).select("pivot", "node", "n", "beyond", "shared", length.cast("int").alias("length")).join(facts.drop("n"), "node")
     maps = [f"m{k}" for k in range(WORDS)]
-    posted = materialise(keyed.select("pivot", "node", "n", "label", "beyond", *maps, F.posexplode("shared").alias("at", "v"), (F.col("at") < F.col("length")).alias("prefix")).where("prefix or beyond"))
+    posted = compact(keyed.select("pivot", "node", "n", "label", "beyond", *maps, F.posexplode("shared").alias("at", "v"), (F.col("at") < F.col("length")).alias("prefix")).where("prefix or beyond"))
     side = lambda x, rows: rows.select("pivot", "v", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "label", "beyond", "prefix", *maps)))
     once = ~F.col("beyond_a") | (F.col("prefix_b") & (F.col("node_a") < F.col("node_b")))
     fits = (F.col("label_a") != F.col("label_b")) & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & once & maps_allow(percent)
@@ -272,7 +290,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     per_node = entries.join(shared, "value").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
     per_node = per_node.withColumn("spare", F.size("values") - needed(F.col("n").cast("double"), p)).where("spare >= 0")
-    lists = materialise(per_node.select("node", "n", F.expr("aggregate(values, 0L, (s, x) -> s + x.df)").alias("common"), F.transform(F.slice("values", 1, F.col("spare") + 1), lambda x: x["value"]).alias("prefix")))
+    lists = compact(per_node.select("node", "n", F.expr("aggregate(values, 0L, (s, x) -> s + x.df)").alias("common"), F.transform(F.slice("values", 1, F.col("spare") + 1), lambda x: x["value"]).alias("prefix")))
     release(spark)
 
     # only the sketches of nodes that may link go on; the others' tables are removed
@@ -288,12 +306,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = lists.select("node", "n", "common", F.explode("prefix").alias("value"))
     best = F.struct("common", "node", "n")
     pivots = postings.groupBy("value").agg(F.max(best).alias("pivot"), F.max(F.when(F.col("n") <= SKETCH, best)).alias("small"), F.count(F.lit(1)).alias("length")).where("length > 1")
-    pivots = materialise(pivots)
+    pivots = compact(pivots)
     edges, labels = None, None
 
     def compare(stars: DataFrame) -> DataFrame:
         """Edges among the pairs of a star round."""
-        passed = materialise(estimate(with_sketches(stars), p))
+        passed = compact(estimate(with_sketches(stars), p))
         # of the pairs that need full sets, every node's closest; later rounds see the others again
         release(spark)
         closest = passed.where("not certain").groupBy("a").agg(F.max(F.struct("jaccard", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
@@ -302,17 +320,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # first round: with the pivot and with the best node whose sketch is its whole set, to which differences are taken later
     both = pivots.select("value", F.explode(F.array_distinct(F.array_compact(F.array("pivot", "small")))).alias("pivot"))
     stars = postings.join(both, "value").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b"))
-    edges = materialise(compare(stars.where((F.col("a") != F.col("b")) & similar_size).select("a", "b").distinct()))
+    edges = compact(compare(stars.where((F.col("a") != F.col("b")) & similar_size).select("a", "b").distinct()))
     release(spark)
     labels = components(edges)
     tried = pivots.select("value", F.col("pivot.node").alias("tried")).union(pivots.where("small is not null").select("value", "small.node"))
     for _ in range(ROUNDS - 1):
-        posted = materialise(still_open(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))))
+        posted = compact(still_open(postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))))
         taken = tried.join(labels, F.col("tried") == F.col("node"), "left").groupBy("value").agg(F.collect_set(F.coalesce("label", "tried")).alias("taken"))
         following = posted.join(taken, "value").where(~F.array_contains("taken", F.col("label"))).groupBy("value").agg(F.max(F.struct("common", "node", "n", "label")).alias("pivot"))
-        following = materialise(following)
+        following = compact(following)
         stars = posted.join(following, "value").where(F.col("label") != F.col("pivot.label")).select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("pivot.node").alias("b"), F.col("pivot.n").alias("n_b"))
-        edges = materialise(edges.union(compare(stars.where(similar_size).select("a", "b").distinct())))
+        edges = compact(edges.union(compare(stars.where(similar_size).select("a", "b").distinct())))
         release(spark)
         labels = components(edges)
         tried = tried.union(following.select("value", "pivot.node"))
@@ -321,7 +339,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     posted = still_open(lists.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("value")))
     reference = F.when(F.col("length") > LONG_LIST, F.col("small.node"))
     posted = posted.join(pivots.select("value", reference.alias("pivot")), "value")
-    posted = materialise(posted.withColumn("grouped", F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)))
+    posted = compact(posted.withColumn("grouped", F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)))
     release(spark)
     concerned = posted.select("node", "n", "label", "prefix").dropDuplicates(["node"])
     sketched = live.join(concerned.select("node"), "node", "left_semi")
@@ -329,7 +347,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lonely = own.join(own.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.max("long").alias("any")).where("c = 1 and any"), "v", "left_semi").groupBy("node").agg(F.collect_list(upper(F.col("v"))).alias("far"))
     ends = sketched.where(F.col("n") > SKETCH).select("node", upper(F.element_at("sketch", -1)).alias("end"))
     maps = bit_maps(sketched.where(F.col("n") <= SKETCH))
-    facts = materialise(concerned.join(lonely, "node", "left").join(ends, "node", "left").join(maps, "node", "left"))
+    facts = compact(concerned.join(lonely, "node", "left").join(ends, "node", "left").join(maps, "node", "left"))
     release(spark)
     columns = ("node", "n", "label", "prefix", "far", "end", *(f"m{k}" for k in range(WORDS)))
     side = lambda x, rows: rows.select("value", "grouped", "node").join(facts, "node").select("value", F.col("grouped").alias(f"grouped_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
@@ -339,7 +357,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = left.join(right, (F.col("l.value") == F.col("r.value")) & once & (F.col("label_a") != F.col("label_b")) & similar_size & possible(p, percent) & first_common).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     members = posted.where("grouped").select("pivot", "node").distinct()
     pairs = pairs.union(difference_pairs(members, facts.select("node", "n", "label", *(f"m{k}" for k in range(WORDS))), live, percent)).distinct()
-    passed = materialise(estimate(with_sketches(pairs), p))
+    passed = compact(estimate(with_sketches(pairs), p))
     more = passed.where("certain").select("a", "b").union(confirm(passed.where("not certain").select("a", "b"), df, reps, id_col, text_col, shingle, percent))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     labels = components(stars.union(more))
