@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.llm import decontam, dedup, mixing, pii, quality
-from loomspan.llm.common import checkpoint_dir, materialise, table
+from loomspan.llm.common import materialise, shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,12 +31,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"), F.collect_set(F.when(F.col("kept"), F.struct("node", "label"))).alias("sets"))
     found = materialise(found.where("rows > 1 or not kept").select("doc_id", F.when(F.col("rows") > 1, F.col("sets")).alias("sets")))
     once = docs.join(found.select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-    # rows of an id that repeats: the set of each tells whether it is kept and in which group
+    # rows of an id that repeats: the set of each tells whether it is kept and in which group. The rows travel as one column, whatever the names of theirs
     sets = found.where("sets is not null").select(F.col("doc_id").alias("__id"), F.explode("sets").alias("__set")).select("__id", F.col("__set.node").alias("__key"), F.col("__set.label").alias("__label"))
-    repeated = dedup.with_node(docs.join(found.where("sets is not null").select("doc_id"), "doc_id", "left_semi").select(docs.columns), "text", 5)
-    repeated = repeated.join(sets, (F.col("doc_id") == F.col("__id")) & F.col("__node").eqNullSafe(F.col("__key")))
-    row = F.struct(*docs.columns)
-    one = repeated.groupBy("doc_id", "__label").agg(F.min_by(row, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*docs.columns))).alias("__row"))
+    repeated = docs.join(found.where("sets is not null").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("__of"), F.col("text").alias("__text"), F.struct(*docs.columns).alias("__row"))
+    repeated = dedup.with_node(repeated, "__text", 5)
+    repeated = repeated.join(sets, (F.col("__of") == F.col("__id")) & F.col("__node").eqNullSafe(F.col("__key")))
+    one = repeated.groupBy("__of", "__label").agg(F.min_by("__row", F.struct(F.coalesce("__text", F.lit("")), F.xxhash64("__row"))).alias("__row"))
     return once.unionByName(one.select("__row.*"))
 
 
@@ -46,10 +46,12 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every span of personal data becomes its kind in brackets, and n_chars follows; null texts stay null, all other columns are unchanged."""
     return pii.redact(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per copy that the mix draws; documents without words are not drawn, and of an empty table nothing is."""
     return mixing.mix(docs)
 
 
@@ -61,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    place = f"{checkpoint_dir(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark).rstrip('/')}/corpus-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
         docs = spark.read.parquet(f"{place}/{name}")

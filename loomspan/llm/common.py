@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Rows of one Arrow batch. Documents may be megabytes long, so batches stay small.
-BATCH_ROWS = 500
+from ..sources.store import materialise, shared_folder
+
+__all__ = ["bucket", "distinct_name", "labelled_sample", "map_batches", "map_partitions", "materialise", "pieces", "shared_folder", "table", "text_of", "whole"]
+
+#: Rows and bytes of the pieces in which workers look at an Arrow batch: documents may be megabytes long.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,18 +38,40 @@ def whole(column) -> pa.Array:
     return column
 
 
+def row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of every row of a string or binary column; zeros for other kinds."""
+    if len(column) and (pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)):
+        width = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
+        offsets = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1]
+        return np.diff(offsets.astype(np.int64))
+    return np.zeros(len(column), np.int64)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and about ``size`` bytes of text (one row at least), without copies."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(sum((row_bytes(c) for c in b.columns), np.zeros(b.num_rows, np.int64)))
+        at = 0
+        while at < b.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """Apply ``fn`` to every Arrow batch of ``df``; it returns columns (lists or arrays) of ``schema``."""
-    return map_partitions(df, lambda batches: (fn(b) for b in batches if b.num_rows), schema)
+    """Apply ``fn`` to every piece of the Arrow batches of ``df``; it returns columns (lists or arrays) of ``schema``."""
+    return map_partitions(df, lambda batches: (fn(b) for b in batches), schema)
 
 
 def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """As map_batches, for functions that keep state over the batches of a partition."""
     target = to_arrow_schema(StructType.fromDDL(schema))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def run(batches):
-        for out in fn(batches):
+        for out in fn(pieces(batches)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else whole(out[f.name]).cast(f.type) for f in target],
                 schema=target,
@@ -53,34 +80,27 @@ def map_partitions(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(run, schema)
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str = "/tmp/loomspan-checkpoints") -> str:
-    """The cluster's shared checkpoint folder; ``fallback`` only where none is set (local tests)."""
-    sc = spark.sparkContext
-    have = sc._jsc.sc().getCheckpointDir()
-    if have.isDefined():
-        return have.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or fallback
-    sc.setCheckpointDir(path)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write once to the shared checkpoint folder and read that copy from then on."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def distinct_name(taken: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores before it until no column has that name (whatever its case)."""
+    used = {t.lower() for t in taken}
+    while wanted.lower() in used:
+        wanted = "_" + wanted
+    return wanted
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, modulus: int, remainder: int, id_col: str = "doc_id", text_col: str = "text"):
     """At most ``limit`` labelled training rows as (text, label) lists, in an order fixed by the id's hash.
 
-    Rows whose bucket is ``remainder`` are held out. Null labels are ignored; of several labels of one id
-    the largest counts.
+    Rows whose bucket is ``remainder`` are held out. Null labels are ignored; of several labels of one id the largest counts, and of several texts
+    the least. Twice the limit of ids are looked up, so that up to as many labels without a document do not shorten the sample.
     """
+    order = F.xxhash64("__id")
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & (bucket(id_col, modulus) != remainder))
         .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__y"))
-        .orderBy(F.xxhash64("__id"), "__id").limit(limit)
+        .orderBy(order, "__id").limit(2 * limit)
     )
-    rows = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(chosen), "__id").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["__id"][i].as_py(), rows["__text"][i].as_py()))
-    return [rows["__text"][i].as_py() for i in order], [rows["__y"][i].as_py() for i in order]
+    found = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    rows = found.groupBy("__id").agg(F.min("__text").alias("__text"), F.max("__y").alias("__y")).orderBy(order, "__id").limit(limit).toArrow()
+    kept = sorted(range(rows.num_rows), key=lambda i: rows["__id"][i].as_py())
+    return [rows["__text"][i].as_py() for i in kept], [rows["__y"][i].as_py() for i in kept]

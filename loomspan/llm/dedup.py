@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.store import fresh_folder, remove
-from .common import map_batches, map_partitions, materialise, table, text_of
+from .common import map_batches, map_partitions, materialise, pieces, table, text_of
 
 SHINGLE, PERCENT = 3, 85
 INDEX, SKETCH = 48, 160
@@ -377,7 +377,7 @@ def with_node(df: DataFrame, text_col: str, size: int) -> DataFrame:
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in pieces(batches):
             sets = [shingle_set((t or "").encode(), size, cache) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([node_key(s) if len(s) else None for s in sets], pa.int64())], [*b.schema.names, "__node"])
 

@@ -246,7 +246,6 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     spark = df.sparkSession
     train = bucket(id_col, modulus) != remainder
     docs = df.select(F.col(id_col).alias("id"), train.alias("train"), text_of(text_col).cast("binary").alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
     counted = materialise(count_words(docs.select("train", "text")))
     totals = counted.agg(F.sum("c").alias("N"), F.count_if(F.col("c") > 0).alias("V"), F.sum(F.when(F.octet_length("word") == 0, F.col("c")).otherwise(0)).alias("ends")).first()
     N, V, ends = int(totals["N"] or 0), int(totals["V"] or 0), int(totals["ends"] or 0)

@@ -158,11 +158,11 @@ def choose_codec(payload: bytes) -> int:
     return (MULAW, ALAW, ADPCM)[zlib.crc32(payload) % 3]
 
 
-def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_pcm: bool = False) -> DataFrame:
+def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_pcm: bool = True) -> DataFrame:
     """Store every text losslessly as a telephony audio file and describe what is read back.
 
-    Null texts count as empty (one unit of padding); ids pass through unchanged, nulls and repeats included.
-    Returns id, n_bytes, media (the file), payload (read back), features and, if asked for, the resampled PCM file.
+    Null texts count as empty (one unit of padding); ids pass through unchanged, nulls and repeats included; an empty table gives none.
+    Returns id, n_bytes, media (the file), payload (read back), features and, unless declined, pcm: the resampled PCM as a WAVE file.
     """
     kind = dict(df.dtypes)[id_col]
     schema = f"{id_col} {kind}, n_bytes long, media binary, payload binary, features string, pcm binary"
@@ -190,5 +190,5 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr("substring(payload, -32, 32)")).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"), F.col("features").alias("feature"),
+        F.sha2("media", 256).alias("media_sha256"), F.col("features").alias("feature"), F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
     )

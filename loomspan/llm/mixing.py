@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from ..operators.predictions import dense_numbers
+from .common import distinct_name, materialise, table
 
 BLOCKS = 64
 SHARD_LEVELS = 4  # 2 ** levels output shards
 MAX_REPEAT = 3
 WORD = r"[^\x20\x09-\x0D]+"
+RANGE_BITS = 10  # of the hash ranges in which the units of a node are ranked
 BROADCAST_ROWS = 500_000  # larger per-source tables are joined by shuffle
 
 
@@ -37,32 +39,47 @@ def _hash(seed: str, *cols) -> F.Column:
 
 
 def source_targets(sizes: DataFrame, weights=(1, 2, 3), max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """source, source_size, target from (source, size). One row per source; only that small table is sorted as a whole."""
-    per = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    cycle = F.expr(f"get(array({', '.join(f'{w}D' for w in weights)}), cast((rank - 1) % {len(weights)} as int))")
-    ranked = per.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("weight", cycle)
-    cap = F.col("source_size") * float(max_repeat)
-    ordered = ranked.withColumn("cap", cap).withColumn("level", F.col("cap") / F.col("weight"))
-    w = Window.orderBy("level", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    filled = (
-        ordered.withColumn("total", F.sum("source_size").over(everything)).withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("before_cap", F.coalesce(F.sum("cap").over(w), F.lit(0.0))).withColumn("before_weight", F.coalesce(F.sum("weight").over(w), F.lit(0.0)))
-        # the water level if this source and all later ones stay below their caps
-        .withColumn("water", (F.col("total") - F.col("before_cap")) / (F.col("all_weight") - F.col("before_weight")))
-        .withColumn("rises", F.when(F.col("level") >= F.col("water"), F.col("water")))
-    )
-    water = F.max("rises").over(everything)
-    return filled.withColumn("lake", water).select("source", "source_size", F.when((F.col("level") >= F.col("lake")), F.col("weight") * F.col("lake")).otherwise(F.col("cap")).alias("target"))
+    """source, source_size, target from (source, size), for any number of sources.
+
+    Sources are ranked in range partitions. The water level rises from everything shared by weight: sources that would go beyond their cap stop there and
+    the rest shares what is left, until none is above; a pass is one sum over the sources.
+    """
+    per = materialise(sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")))
+    named = per.where("source is not null")
+    ranked = dense_numbers(named, "source").withColumnRenamed("source", "__source")
+    ranked = named.join(ranked, F.col("source") == F.col("__source")).select("source", "source_size", "line")
+    ranked = ranked.union(per.where("source is null").select("source", "source_size", F.lit(named.count()).cast("long")))
+    cycle = F.expr(f"get(array({', '.join(f'{w}D' for w in weights)}), cast(line % {len(weights)} as int))")
+    levels = ranked.withColumn("weight", cycle).withColumn("cap", F.col("source_size") * float(max_repeat)).withColumn("level", F.col("cap") / F.col("weight"))
+    levels = materialise(levels.select("source", "source_size", "weight", "cap", "level"))
+    total, full, lake = levels.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0], -1, None
+    while True:
+        below = F.col("level") < (F.lit(-1.0) if lake is None else F.lit(lake))
+        count, capped, weight = levels.agg(F.count_if(below), F.coalesce(F.sum(F.when(below, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~below, F.col("weight"))), F.lit(0.0))).first()
+        if count == full or not weight:
+            break
+        full, lake = count, (total - capped) / weight
+    return levels.select("source", "source_size", F.when(F.col("level") >= F.lit(lake), F.col("weight") * F.lit(lake)).otherwise(F.col("cap")).alias("target"))
 
 
 def splitting_tree(units: DataFrame, levels: int = SHARD_LEVELS, seed: str = "tree") -> DataFrame:
-    """(source_key, shard, quota): how many block copies of every source every shard gets."""
-    node = units.withColumn("shard", F.lit(0))
+    """(source_key, shard, quota): how many block copies of every source every shard gets.
+
+    At every node the half of its units with the smaller hashes goes left. Units are ranked within hash ranges, and the ranges' counts (RANGES rows per
+    node) are summed up before, so that no task sorts a node's units.
+    """
+    node = materialise(units.select("source_key", "block", "copy", F.lit(0).alias("shard")))
+    keys = ("source_key", "block", "copy")
     for level in range(levels):
-        order = Window.partitionBy("shard").orderBy(_hash(f"{seed}{level}", F.col("source_key"), F.col("block").cast("string"), F.col("copy").cast("string")), "source_key", "block", "copy")
-        size = F.count(F.lit(1)).over(Window.partitionBy("shard"))
-        node = node.withColumn("right", (F.row_number().over(order) * 2 > size).cast("int")).withColumn("shard", F.col("shard") * 2 + F.col("right")).drop("right")
+        h = _hash(f"{seed}{level}", F.col("source_key"), F.col("block").cast("string"), F.col("copy").cast("string"))
+        hashed = node.withColumn("h", h).withColumn("range", F.shiftright("h", 60 - RANGE_BITS))
+        upto = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = hashed.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.select("shard", "range", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("shard")).alias("size"))
+        inside = F.row_number().over(Window.partitionBy("shard", "range").orderBy("h", *keys))
+        ranked = hashed.join(F.broadcast(counts), ["shard", "range"])  # at most 2 ** (levels + RANGE_BITS) rows
+        right = ((inside + F.col("before")) * 2 > F.col("size")).cast("int")
+        node = materialise(ranked.withColumn("right", right).select(*keys, (F.col("shard") * 2 + F.col("right")).alias("shard")))
     return node.groupBy("source_key", "shard").agg(F.count(F.lit(1)).alias("quota"))
 
 
@@ -122,11 +139,16 @@ def mix_plan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: one row per copy with its shard and a key that orders the shard's local shuffle, plus the columns of ``df``."""
+    """The mix itself: one row per copy, all columns of ``df`` unchanged, with copy, shard and shuffle_key, which orders the shard's local shuffle.
+
+    Where ``df`` has columns of these names, the mix's own get underscores before theirs. Rows that repeat an id share its copies; an empty table gives no rows.
+    """
     plan = mix_plan(df, id_col=id_col, **options)
-    drawn = plan.where("copies > 0").select(F.col(id_col).alias("__id"), F.posexplode("shards").alias("copy", "shard"), "h").dropDuplicates(["__id", "copy"])
-    out = df.join(drawn, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn("shuffle_key", _hash("local", F.col("shard").cast("string"), F.col("copy").cast("string"), F.col("h").cast("string"))).drop("__id", "h")
+    ident, draw = distinct_name(df.columns, "__id"), distinct_name(df.columns, "__draw")
+    drawn = plan.where("copies > 0").select(F.col(id_col).alias(ident), "h", F.posexplode("shards").alias("copy", "shard")).dropDuplicates([ident, "copy"])
+    drawn = drawn.select(ident, F.struct("copy", "shard", _hash("local", F.col("shard").cast("string"), F.col("copy").cast("string"), F.col("h").cast("string")).alias("shuffle_key")).alias(draw))
+    out = df.join(drawn, df[id_col].eqNullSafe(drawn[ident]))
+    return out.select(*(df[c] for c in df.columns), *(F.col(f"{draw}.{c}").alias(distinct_name(df.columns, c)) for c in ("copy", "shard", "shuffle_key")))
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

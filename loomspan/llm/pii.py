@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, table, text_of
+from .common import map_batches, pieces, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns, written so that every scan is linear. An address is tried at the start of its run.
@@ -438,9 +438,7 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
     n_at = df.columns.index(length_col) if length_col in df.columns else None
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches):
             tagger = Tagger()
             tagger.w = weights.value
             raw = b.column(at).to_pylist()
@@ -448,12 +446,12 @@ def redact(df: DataFrame, text_col: str = "text", length_col: str | None = "n_ch
             base = [base_spans(t) for t in texts]
             out = []
             for t, spans, extra, was in zip(texts, base, added_spans(tagger, texts, base), raw, strict=True):
-                pieces, pos = [], 0
+                kept, pos = [], 0
                 for s, k, e in sorted(spans + extra):
                     if s >= pos:
-                        pieces += [t[pos:s], f"[{KINDS[k].upper()}]"]
+                        kept += [t[pos:s], f"[{KINDS[k].upper()}]"]
                     pos = max(pos, e)
-                out.append(None if was is None else "".join(pieces) + t[pos:])
+                out.append(None if was is None else "".join(kept) + t[pos:])
             columns = list(b.columns)
             columns[at] = pa.array(out, b.schema.field(at).type)
             if n_at is not None:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket, labelled_sample, map_batches, table, text_of
+from .common import bucket, labelled_sample, map_batches, pieces, table, text_of
 
 FIT_ROWS = 4000  # labelled rows in the fit: bounds the broadcast to FIT_ROWS * DIM floats
 DIM = 32
@@ -82,6 +82,16 @@ def singular_vectors(x: np.ndarray, dim: int, rounds: int = 6, spare: int = 16)
     return (q @ v.T)[:, :dim].astype(np.float32)
 
 
+def nearest(sims: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of every row; of equal ones the first columns count."""
+    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sims, near, axis=1).min(axis=1, keepdims=True)
+    tied = np.flatnonzero(np.count_nonzero(sims >= least, axis=1) > k)  # more rows reach the k-th value than may vote
+    for row in tied:
+        near[row] = np.argsort(-sims[row], kind="stable")[:k]
+    return near
+
+
 class Space:
     """Latent space and labelled vectors of a fit."""
 
@@ -121,7 +131,7 @@ class Space:
         out = np.empty(len(texts))
         for at in range(0, len(q), DOC_BLOCK):
             sims = q[at : at + DOC_BLOCK] @ self.vectors.T
-            near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+            near = nearest(sims, k)
             weight = np.clip(np.take_along_axis(sims, near, axis=1), 0, 1).astype(np.float64) ** POWER + 1e-9
             out[at : at + DOC_BLOCK] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         empty = raw.sum(axis=1) == 0
@@ -135,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
 
 
 def classify(df: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` that are asked for stay; adds score (0 to 1). Null texts count as empty; rows are independent."""
+    """id and score (0 to 1) of every row. Null texts count as empty; rows are independent, ids may be null or repeat, an empty table gives no rows. Of equally near neighbours those with the smaller id vote."""
     held = df.sparkSession.sparkContext.broadcast(space)
     kind = dict(df.dtypes)[id_col]
 
@@ -146,17 +156,16 @@ def classify(df: DataFrame, space: Space, id_col: str = "doc_id", text_col: str
 
 
 def filter_documents(df: DataFrame, space: Space, text_col: str = "text", least: float = ACCEPT) -> DataFrame:
-    """The rows of ``df``, all columns unchanged, whose score is at least ``least``."""
+    """The rows of ``df``, all columns unchanged whatever their names, whose score is at least ``least``: null and empty texts have the fit's share of label 1."""
     held = df.sparkSession.sparkContext.broadcast(space)
     import pyarrow as pa
 
     at = df.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
-                texts = [(t or "").encode() for t in b.column(at).to_pylist()]
-                yield b.filter(pa.array([s >= least for s in held.value.score(texts)], pa.bool_()))
+        for b in pieces(batches):
+            texts = [(t or "").encode() for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array([s >= least for s in held.value.score(texts)], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -548,11 +548,20 @@ def test_quality_held_out_accuracy():
     assert np.mean([(s >= 0.7) == t for s, t in zip(got, y)]) > 0.95
     assert space.score([]) == [] and 0 <= space.score([b""])[0] <= 1
     # exact cosine voting, one document at a time
-    q = space._unit(space._weigh(quality.features(texts[0])[None]) @ space.basis)[0]
-    sims = space.vectors @ q
-    near = np.argsort(-sims)[: space.neighbours]
-    w = np.clip(sims[near], 0, 1).astype(np.float64) ** quality.POWER + 1e-9
-    assert got[0] == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=1e-4)
+    for text, score in zip(texts, got):
+        q = space._unit(space._weigh(quality.features(text)[None]) @ space.basis)[0]
+        sims = space.vectors @ q
+        near = np.argsort(-sims, kind="stable")[: space.neighbours]
+        w = np.clip(sims[near], 0, 1).astype(np.float64) ** quality.POWER + 1e-9
+        assert score == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=1e-3)
+
+
+def test_quality_ties_go_to_the_first_neighbours():
+    sims = np.array([[0.5, 0.9, 0.5, 0.5, 0.1], [0.1, 0.2, 0.3, 0.4, 0.5], [0.7] * 5], np.float32)
+    assert [sorted(r) for r in quality.nearest(sims, 2).tolist()] == [[0, 1], [3, 4], [0, 1]]
+    rows, y = quality_rows(40, 3)
+    same = quality.Space(rows * 3, [1 - v for v in y] + y + y)
+    assert same.score(rows[:5]) == same.score(rows[:5])
 
 
 def test_quality_frame(spark):
@@ -658,6 +667,36 @@ def test_pipeline_keeps_one_of_repeated_rows(spark):
     assert got == Counter({(5, b.lower()): 1, (3, c.lower()): 1, (7, d.lower()): 1, (8, ""): 1, (9, ""): 1, (None, d.lower()): 2})
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Every internal name as a further column of the documents."""
+    import corpus_pipeline
+
+    rnd = random.Random(14)
+    names = "h copy shard __id shuffle_key n_words items spans n_hit contaminated key window row __row __text __key __node __of __set __label __draw part block size source_key value node label score pos start end".split()
+    texts = [prose(rnd, 40) for _ in range(6)]
+    df = frame(spark, [*texts, texts[0], None, ""]).drop("extra").withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    spark.createDataFrame([(1, "some words that no document has at all in any place whatever it may say")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        rows = out.collect()
+        assert out.columns[: len(df.columns)] == df.columns and rows, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+        empty = stage(spark, df.limit(0), str(tmp_path))
+        assert empty.columns == out.columns and empty.count() == 0, name
+
+
+def test_sources_fill_up_to_their_caps(spark):
+    rnd = random.Random(2)
+    for n in (1, 2, 9, 40):
+        sizes = {f"s{i:02d}": int(10 ** rnd.uniform(0, 5)) for i in range(n)} | {None: 17}
+        got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+        want = brute_targets(sizes)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    zero = mixing.source_targets(spark.createDataFrame([("a", 0)], "source string, size long")).collect()
+    assert [r.target for r in zero] == [0]
+
+
 def test_null_columns_everywhere(spark):
     df = spark.createDataFrame([(None, None, None, None, None, None)] * 3, DOCS)
     assert pii.find_spans(df).count() == 3 and mixing.mix_plan(df).count() == 3 and lm.lm_scores(df).count() == 3
