@@ -18,7 +18,9 @@ from .common import map_batches, table, text_of
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-INVISIBLE = frozenset("head script style template noscript iframe noembed noframes object canvas svg math audio video map datalist select option title meta link base".split())
+INVISIBLE = frozenset("head script style template noscript iframe noembed noframes object canvas audio video map datalist title meta link base desc defs metadata symbol annotation annotation-xml".split())
+#: limit of HTML itself for the columns that a cell spans
+MOST_COLUMNS = 1000
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
 #: start tag -> elements that it closes when they are open inside the given scope
@@ -272,10 +274,10 @@ def render(node: Node, depth: int = 0) -> str:
             if tag in BLOCK:
                 page.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
             if tag in ("ul", "ol", "menu", "dir"):
-                start = x.attrs.get("start", "1")
-                lists.append([tag, int(start) if start.lstrip("-").isdigit() and len(start) < 10 else 1])
+                lists.append([tag, whole_number(x.attrs.get("start", ""), 1)])
             elif tag == "li":
                 if lists and lists[-1][0] == "ol":
+                    lists[-1][1] = whole_number(x.attrs.get("value", ""), lists[-1][1])
                     page.marker = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
                 else:
@@ -285,10 +287,33 @@ def render(node: Node, depth: int = 0) -> str:
                 page.indent += "  "
             work.append(("close", x, pre, 0))
             inner = pre or tag in ("pre", "textarea", "listing")
-            work.extend(("open", child, inner, 0) for child in reversed(x.children))
+            work.extend(("open", child, inner, 0) for child in reversed(shown(x)))
     return page.result()
 
 
+def whole_number(text: str, default: int) -> int:
+    text = text.strip()
+    return int(text) if re.fullmatch(r"-?[0-9]{1,9}", text) else default
+
+
+def shown(node: Node) -> list:
+    """The children that are painted: of closed details the summary, of a drop-down list the chosen option."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return next(([c] for c in node.children if isinstance(c, Node) and c.tag == "summary"), [])
+    if node.tag == "select":
+        options, todo = [], list(reversed(node.children))
+        while todo:
+            c = todo.pop()
+            if isinstance(c, Node) and c.tag == "option":
+                options.append(c)
+            elif isinstance(c, Node):
+                todo.extend(reversed(c.children))
+        if "multiple" in node.attrs or whole_number(node.attrs.get("size", ""), 1) > 1:
+            return [x for o in options for x in (o, Node("br"))]
+        return [o for o in options if "selected" in o.attrs][-1:] or options[:1]
+    return node.children
+
+
 def rows_of(node: Node):
     todo = list(reversed(node.children))
     while todo:
@@ -301,18 +326,30 @@ def rows_of(node: Node):
 
 
 def render_table(node: Node, depth: int) -> str:
-    """Rows as lines, cells padded to their column's width; a cell of several lines spans as many. Deeply nested tables are flattened."""
+    """Rows as lines, cells padded to their column's width; a cell that spans rows leaves its columns empty in the rows below. The depth of the tree bounds the nesting."""
     out, grid = [], []
+    taken: dict[int, int] = {}  # column -> rows below that a cell above still covers
     for row in rows_of(node):
         if row.tag == "caption":
             out.append(render(row, depth + 1))
             continue
-        cells = []
+        cells: list[str] = []
+        below: dict[int, int] = {}
+
+        def fill(cells=cells):
+            while taken.get(len(cells), 0):
+                cells.append("")
+
         for c in row.children:
             if isinstance(c, Node) and c.tag in ("td", "th") and visible(c):
-                span = c.attrs.get("colspan", "1")
-                text = render(c, depth + 1) if depth < 12 else SPACES.sub(" ", flat_text(c)).strip()
-                cells += [text] + [""] * (min(int(span), 50) - 1 if span.isdigit() and 0 < int(span[:4]) else 0)
+                fill()
+                columns = min(max(1, whole_number(c.attrs.get("colspan", ""), 1)), MOST_COLUMNS)
+                rows = whole_number(c.attrs.get("rowspan", ""), 1)
+                if rows > 1 or rows == 0:  # 0: to the end of the table
+                    below |= dict.fromkeys(range(len(cells), len(cells) + columns), rows - 1 if rows else 1 << 30)
+                cells += [render(c, depth + 1)] + [""] * (columns - 1)
+        fill()
+        taken = {k: n - 1 for k, n in taken.items() if n > 1} | below
         grid.append(cells)
     if len({len(r) for r in grid}) == 1 and grid and len(grid[0]) == 1:
         return "\n".join(out + [r[0] for r in grid])
@@ -327,25 +364,12 @@ def render_table(node: Node, depth: int) -> str:
     return "\n".join(out)
 
 
-def flat_text(node: Node) -> str:
-    out, todo = [], list(reversed(node.children))
-    while todo:
-        c = todo.pop()
-        if isinstance(c, str):
-            out.append(c)
-        elif visible(c):
-            todo.extend(reversed(c.children))
-            if c.tag in BLOCK or c.tag == "br":
-                out.append(" ")
-    return "".join(out)
-
-
 def html_to_text(html: str) -> str:
     return render(parse(html))
 
 
 def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """id and the visible text of every page. Null and empty pages give an empty text; malformed markup never fails; ids may be null or repeat."""
+    """id and the visible text of every page. Null and empty pages give an empty text; malformed markup never fails; ids may be null or repeat; an empty table gives none."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batch):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, table
 
 STRICT = ("porn", "xxx", "xvideos", "hentai", "camgirls", "escorts", "nsfw", "warez", "casino-bonus", "malware")
-SOFT = ("adult", "sex", "nude", "casino", "betting", "poker", "viagra", "cialis", "torrent", "crack", "keygen", "hack", "loan", "payday", "dating", "webcam")
+SOFT = ("adult", "sex", "nude", "casino", "betting", "poker", "viagra", "cialis", "torrent", "crack", "keygen", "hack", "loan", "payday", "dating", "webcam", "ads", "track", "tracker", "banner", "affiliate", "click", "popup", "sponsor")
 SOFT_LIMIT = 2
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -44,7 +44,7 @@ def url_filter(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rul
     """Verdict of every URL: id, host, path, rule, n_strict, n_soft, verdict.
 
     Null URLs and those without ``://`` have an empty host and path, no rule, and are judged by the vocabulary alone
-    (null: no terms, so allowed). Repeated rows give repeated results.
+    (null: no terms, so allowed). Repeated rows give repeated results, an empty table gives none; URLs of any length are read whole.
     """
     kind = dict(df.dtypes)[id_col]
     low = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -76,18 +76,38 @@ def test_tagger_gradient():
         assert grad[k][at] == pytest.approx((up - down) / 2e-2, rel=0.05, abs=0.02)
 
 
-def test_tagger_finds_unusual_spellings_and_leaves_prose_alone():
+def test_tagger_recall_and_precision_and_clean_prose():
     tagger = pii.Tagger()
     tagger.w = pii.trained()
-    held = pii.labelled_examples(200, seed=77)
-    texts = [t for t, _ in held]
-    found = pii.added_spans(tagger, texts, [[] for _ in texts])
-    hits = sum(len(set(f) & set(s)) for f, (_, s) in zip(found, held))
-    assert hits / sum(len(f) for f in found) > 0.95
+    held = [(t, [x for x in spans if x[2] < len(t)]) for t, spans in pii.labelled_examples(400, seed=77)]
+    found = pii.added_spans(tagger, [t for t, _ in held], [[] for _ in held])
+    for kind in range(4):
+        of = lambda spans, kind=kind: {x for x in spans if x[1] == kind}
+        right = sum(len(of(f) & of(s)) for f, (_, s) in zip(found, held))
+        assert right / sum(len(of(s)) for _, s in held) > 0.9 and right / sum(x[2] < len(t) for f, (t, _) in zip(found, held) for x in of(f)) > 0.95, pii.KINDS[kind]
+    # what the base misses
+    base = [pii.base_spans(t) for t, _ in held]
+    missed = [set(s) - set(b) for (_, s), b in zip(held, base)]
+    more = pii.added_spans(tagger, [t for t, _ in held], base)
+    assert sum(len(set(m) & x) for m, x in zip(more, missed)) > 0.9 * sum(map(len, missed)) > 100
     clean = [prose(random.Random(i), 80) + " version 4.0. Licensed 2024-01-12 token = \"0641917ea4e9feb9cda8\"" for i in range(20)]
     assert not any(pii.added_spans(tagger, clean, [pii.base_spans(t) for t in clean]))
 
 
+def test_marginals_equal_all_paths():
+    import itertools
+
+    rnd = np.random.default_rng(5)
+    em, T, lengths = rnd.normal(size=(3, 4, 3)), rnd.normal(size=(3, 3)), np.array([4, 2, 1])
+    for got, e, n in zip(pii.marginals(em, T, lengths), em, lengths):
+        want = np.zeros((n, 3))
+        for path in itertools.product(range(3), repeat=int(n)):
+            p = math.exp(sum(e[t, k] for t, k in enumerate(path)) + sum(T[a, b] for a, b in zip(path, path[1:])))
+            for t, k in enumerate(path):
+                want[t, k] += p
+        assert got == pytest.approx(want / want.sum(axis=1, keepdims=True))
+
+
 def test_long_addresses_lie_in_one_stretch():
     rnd = random.Random(3)
     word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
@@ -105,12 +125,16 @@ def test_long_addresses_lie_in_one_stretch():
         assert pii.added_spans(tagger, [f"please write to {address} today"], [[]]) == [[(16, 0, 16 + len(address))]]
 
 
-def test_windows_reconcile_like_one_long_window():
+def test_windows_reconcile_like_one_long_window(monkeypatch):
+    """Overlapping windows decide as one window over the whole stretch would."""
     tagger = pii.Tagger()
     tagger.w = pii.trained()
-    text = " ".join(f"w{i} 12.3.4.{i}" for i in range(60))
+    text = " ".join(f"word 12.3.4.{i} other" for i in range(30))
     [em] = pii.emission_stretches(tagger, [text])
     assert em.shape == (len(text), pii.TAGS) and np.isfinite(em).all()
+    whole = tagger.emissions(pii.encode(text)[None])[0]
+    tags = pii.viterbi(np.stack([em, whole]), tagger.w["T"], np.array([len(text)] * 2))
+    assert (tags[0] == tags[1]).mean() > 0.98
 
 
 def test_find_spans_and_redact(spark):
@@ -352,6 +376,38 @@ def test_viterbi_equals_all_paths():
         assert toxicity.decode(token, model) == brute_decode(token, model)
 
 
+def brute_channel(token, model):
+    """All ways to read a token: letters, substitutions, collapsed repeats and dropped symbols, at their costs."""
+    best = (math.inf, "")
+
+    def read(i, last, out, cost):
+        nonlocal best
+        if i == len(token):
+            best = min(best, (cost + model.cost(last, toxicity.EDGE), "".join(out)))
+            return
+        ch = token[i]
+        for letter, extra in [(ch, 0.0)] if ch.isalpha() else [(x, toxicity.SUBSTITUTE) for x in toxicity.LEET.get(ch, "")]:
+            read(i + 1, letter, [*out, letter], cost + extra + model.cost(last, letter))
+        if i and token[i - 1] == ch and out:
+            read(i + 1, last, out, cost + toxicity.COLLAPSE)
+        if not ch.isalpha():
+            read(i + 1, last, out, cost + (toxicity.KEEP_SYMBOL if ch.isdigit() else toxicity.DROP if ch not in toxicity.LEET else toxicity.DROP + 3 * toxicity.SUBSTITUTE))
+
+    read(0, toxicity.EDGE, [], 0.0)
+    return best
+
+
+def test_viterbi_over_spacing_and_repetition_equals_all_paths():
+    model, rnd = toxicity.CharModel([Counter(WORDS)]), random.Random(8)
+    for _ in range(150):
+        word = rnd.choice([w for w in WORDS if 3 <= len(w) <= 6])
+        token = "".join(rnd.choice([c, c, c * 2, c + "-", c + ".", {"o": "0", "i": "1", "e": "3"}.get(c, c)]) for c in word)[:9]
+        cost, want = brute_channel(token, model)
+        got = toxicity.decode(token, model)
+        edges = toxicity.EDGE + got + toxicity.EDGE
+        assert got == want or sum(model.cost(a, b) for a, b in zip(edges, edges[1:])) <= cost + 1e-9, (token, got, want)
+
+
 # ---- op 5 ------------------------------------------------------------------------------------------------------
 
 
@@ -479,6 +535,40 @@ def test_lm_scores_equal_brute_force(spark):
     assert lm.lm_scores(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_lm_score_equals_all_segmentations(spark, monkeypatch):
+    """The whole of the score: first weights, one expectation step over the training words, marginal of every word, end of text."""
+    pieces = ["▁", "▁t", "he", "▁the", "h", "e", "t", "th", "a", "▁a"]
+    monkeypatch.setattr(lm, "read_vocabulary", lambda path=None: pieces)
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choice(["the", "he", "a", "tea", "ZET", "heath"]) for _ in range(rnd.randint(0, 6))) for _ in range(16)]
+    first = lm.first_weights(len(pieces))
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    counts = np.zeros(len(first))
+
+    def paths(w):
+        """All segmentations as lists of indices: pieces, or the bytes of one character."""
+        if not w:
+            yield []
+        for j in range(1, len(w) + 1):
+            for arc in ([[pieces.index(w[:j])]] if w[:j] in pieces else []) + ([[len(pieces) + b for b in w[0].encode()]] if j == 1 else []):
+                for rest in paths(w[j:]):
+                    yield arc + rest
+
+    for t, is_train in zip(texts, train):
+        for w in t.lower().split() if is_train else []:
+            each = [(p, math.exp(sum(math.log(first[k]) for k in p))) for p in paths(lm.SPACE + w)]
+            total = sum(m for _, m in each)
+            for p, m in each:
+                for k in p:
+                    counts[k] += m / total
+        counts[-1] += is_train
+    weights = (counts + lm.PRIOR * first) / (counts.sum() + lm.PRIOR)
+    got = {r.doc_id: r.score for r in lm.lm_scores(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        want = sum(math.log(sum(math.exp(sum(math.log(weights[k]) for k in p)) for p in paths(lm.SPACE + w))) for w in t.lower().split()) + math.log(weights[-1])
+        assert got[i] == pytest.approx(want / math.log(10), abs=1e-4), t
+
+
 # ---- op 8 --------------------------------------------------------------------------------------------------------
 
 
@@ -504,6 +594,34 @@ def test_html_table_text_outside_cells(page, text):
     assert html.html_to_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>", "a  b\n   c  d"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a  b\n   c\n   d"),
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>e<td>f</table>", "ab     c\nd   e  f"), ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"), ("<ol start=-1><li>a<li value=x>b</ol>", "-1. a\n0. b"),
+    ("<details><summary>s</summary>gone</details>x", "s\nx"), ("<details open><summary>s</summary>here</details>", "s\nhere"), ("<details>gone</details>x", "x"),
+    ("<select><option>a<option selected>b</select>", "b"), ("<select><optgroup><option>a</optgroup><option>b</select>", "a"), ("<select multiple><option>a<option>b</select>", "a\nb"),
+    ("<svg><title>t</title><text>seen</text></svg>", "seen"), ("<math><mi>x</mi><annotation>gone</annotation></math>", "x"),
+    ("<table><tr><td>" * 14 + "deep<td>side" + "</table>" * 14, "deep  side"),
+])
+def test_html_visibility_and_spans(page, text):
+    assert html.html_to_text(page) == text
+
+
+def test_html_emits_visible_text_in_order():
+    """Every visible text node of random pages without tables appears, in order."""
+    rnd = random.Random(31)
+    tags = "div p ul ol li b i span section blockquote h1 pre dl dt dd details summary select option svg math form".split()
+    for _ in range(1500):
+        page = "".join(f"<{rnd.choice(['', '/'])}{rnd.choice(tags)}{rnd.choice(['', '', ' hidden', ' open'])}>" + (f" w{i} " if rnd.random() < 0.6 else "") for i in range(rnd.randint(1, 25)))
+        want, todo = [], [html.parse(page)]
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                want += x.split()
+            elif x.tag == "#root" or html.visible(x):
+                todo.extend(reversed(html.shown(x)))
+        assert re.findall(r"w\d+", html.html_to_text(page)) == want, page
+
+
 def test_html_loses_no_word_of_random_tables():
     rnd = random.Random(12)
     tags = "table tbody thead tr td th caption colgroup form div b p ul li span".split()
