@@ -35,9 +35,9 @@ from .common import map_batches, map_partitions, materialise, pieces, table, tex
 SHINGLE, PERCENT = 3, 85
 INDEX, SKETCH = 48, 160
 SIGMAS = 5.0
-ROUNDS = 2  # star rounds
+ROUNDS = 1  # star rounds
 LONG_LIST = 64  # longer lists are joined on differences to their pivot instead of on their value
-WORDS = 8  # 64-bit words of a set's bit map
+WORDS = 16  # 64-bit words of a set's bit map
 BROADCAST_NODES = 1_000_000  # ids shipped to filter the documents that full sets are built from (8 bytes each)
 WORD_CACHE = 300_000
 BROADCAST_LABELS, ROWS_PER_TASK = 200_000, 4_000
@@ -192,7 +192,7 @@ def _sum(label):
 
 
 def bit_maps(nodes: DataFrame) -> DataFrame:
-    """node, m0 .. m7: a bit map of every set that its sketch holds whole. A bit that differs between two maps is at least one element that differs."""
+    """node, m0 and on: a bit map of every set that its sketch holds whole. A bit that differs between two maps is at least one element that differs."""
 
     def run(batch):
         lists = batch.column(1)
