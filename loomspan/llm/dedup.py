@@ -9,7 +9,7 @@
 3. Star rounds: in every list the node with the most common values is the pivot and all others are compared with it; what is still in
    different components gets another pivot, ROUNDS times in all. Components shrink the large groups of near copies before any pair is listed.
    Last round: what is left in lists of up to LONG_LIST nodes is compared pair by pair, each pair at its first common value. In longer lists the sets are
-   described by their difference to the first pivot: of two that link, at least one is beyond the threshold from the pivot, hence they share a
+   described by their difference to a pivot of the list, those larger than their sketch from their texts and with a pivot of their own: of two that link, at least one is beyond the threshold from the pivot, hence they share a
    known number of elements of these differences, and only nodes with a common element in the rare part of the differences that this requires
    meet (the prefix principle again, on what sets a group's members apart). Bit maps of the sets, whose differing bits are differing elements, rule out the rest
    before it becomes a row. No list is capped.
@@ -123,14 +123,12 @@ def estimate(pairs: DataFrame, p: float) -> DataFrame:
     return pairs.where(F.when(F.col("certain"), exact).otherwise(F.col("jaccard") >= p - slack)).select("a", "b", "certain", "jaccard")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Links among ``pairs`` (a, b) by exact similarity of the full sets, rebuilt from the texts of the nodes concerned only."""
-    wanted = compact(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
+def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, listed: bool = False) -> DataFrame:
+    """(node, set) of the nodes in ``wanted`` (node, rep), rebuilt from their texts; as bytes or, if ``listed``, as an array of hashes."""
     n = wanted.count()
-    if not n:
-        return pairs.select("a", "b")
+    hint = F.broadcast if n <= BROADCAST_NODES else lambda df: df
     ids = wanted.select(F.col("rep").alias("__rep")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).cast("binary").alias("__text")).join(F.broadcast(ids) if n <= BROADCAST_NODES else ids, F.col("__id") == F.col("__rep"), "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), text_of(text_col).cast("binary").alias("__text")).join(hint(ids), F.col("__id") == F.col("__rep"), "left_semi")
 
     def run(batches):
         cache: dict = {}
@@ -138,10 +136,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, te
             if b.num_rows:
                 sets = [shingle_set(t, size, cache) for t in b.column(0).to_pylist()]
                 sets = [s for s in sets if len(s)]
-                yield {"node": [node_key(s) for s in sets], "set": [s.tobytes() for s in sets]}
+                yield {"node": [node_key(s) for s in sets], "set": [s.astype(np.int64) if listed else s.tobytes() for s in sets]}
+
+    kind = "array<long>" if listed else "binary"
+    sets = map_partitions(texts.select("__text"), run, f"node long, set {kind}")
+    return materialise(sets.join(hint(wanted.select("node")), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set")))
 
-    sets = map_partitions(texts.select("__text"), run, "node long, set binary").join(F.broadcast(wanted.select("node")) if n <= BROADCAST_NODES else wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-    sets = materialise(sets)
+
+def confirm(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """Links among ``pairs`` (a, b) by exact similarity of the full sets, rebuilt from the texts of the nodes concerned only."""
+    wanted = compact(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node"))
+    if not wanted.count():
+        return pairs.select("a", "b")
+    sets = full_sets(wanted, docs, id_col, text_col, size)
     both = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
 
     def check(batch):
@@ -192,7 +199,7 @@ def _sum(label):
 
 
 def bit_maps(nodes: DataFrame) -> DataFrame:
-    """node, m0 and on: a bit map of every set that its sketch holds whole. A bit that differs between two maps is at least one element that differs."""
+    """node, m0 and on: a bit map of every set, which ``sketch`` must hold whole. A bit that differs between two maps is at least one element that differs."""
 
     def run(batch):
         lists = batch.column(1)
@@ -206,17 +213,17 @@ def bit_maps(nodes: DataFrame) -> DataFrame:
 
 
 def maps_allow(percent: int):
-    """Whether two whole sets may be similar enough by the differing bits of their maps; true where a set is larger than its sketch."""
+    """Whether two sets may be similar enough by the differing bits of their maps."""
     bits = sum((F.bit_count(F.col(f"m{k}_a").bitwiseXOR(F.col(f"m{k}_b"))) for k in range(WORDS)), F.lit(0))
-    return (F.greatest("n_a", "n_b") > SKETCH) | ((100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
 
 
 def difference_pairs(members: DataFrame, facts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that may link, among the members (pivot, node) of every pivot's group.
+    """Pairs (a, b) of different labels that may link, among the members (pivot, node) of every pivot's group; ``nodes`` has whole sets as ``sketch``.
 
     With D the difference of a set to the pivot P, q = (100 - percent) / (100 + percent) and n the sizes, sets A and B link if the difference of D(A)
     and D(B) has at most q * (n(A) + n(B)) elements. If B is beyond the threshold from P, more than q * (n(B) + n(P)) elements are in D(B), so A and B share
-    more than (D(A) + q * (n(P) - n(A))) / 2 of them. Members within the threshold from P are in its component: one of the two is always beyond. A's prefix are the
+    more than (D(A) + q * (n(P) - n(A))) / 2 of them. Members within the threshold from P are paired with P, unless they are in its component: in what else must be listed one of the two is beyond. A's prefix are the
     rarest elements of D(A) of which one at least must then be in D(B), and in B's own prefix if A is beyond the threshold as well.
     """
     sets = nodes.select("node", "n", "sketch")
@@ -238,6 +245,8 @@ def difference_pairs(members: DataFrame, facts: DataFrame, nodes: DataFrame, per
     fits = (F.col("label_a") != F.col("label_b")) & (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")) & once & maps_allow(percent)
     left, right = side("a", posted.where("prefix")).alias("l"), side("b", posted.where("beyond")).alias("r")
     pairs = left.join(right, (F.col("l.pivot") == F.col("r.pivot")) & (F.col("l.v") == F.col("r.v")) & fits)
+    near = d.where("not beyond").select("pivot", "node").join(facts.select("node", "label"), "node").join(facts.select(F.col("node").alias("pivot"), F.col("label").alias("label_p")), "pivot")
+    pairs = pairs.select("node_a", "node_b").union(near.where("label <> label_p").select("pivot", "node"))
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
@@ -305,7 +314,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     similar_size = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
     postings = lists.select("node", "n", "common", F.explode("prefix").alias("value"))
     best = F.struct("common", "node", "n")
-    pivots = postings.groupBy("value").agg(F.max(best).alias("pivot"), F.max(F.when(F.col("n") <= SKETCH, best)).alias("small"), F.count(F.lit(1)).alias("length")).where("length > 1")
+    pivots = postings.groupBy("value").agg(F.max(best).alias("pivot"), F.max(F.when(F.col("n") <= SKETCH, best)).alias("small"), F.max(F.when(F.col("n") > SKETCH, best)).alias("large"), F.count(F.lit(1)).alias("length")).where("length > 1")
     pivots = compact(pivots)
     edges, labels = None, None
 
@@ -337,9 +346,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # last round: pairs in different components
     posted = still_open(lists.join(labels, "node", "left").select("node", "n", "prefix", F.coalesce("label", "node").alias("label"), F.explode("prefix").alias("value")))
-    reference = F.when(F.col("length") > LONG_LIST, F.col("small.node"))
-    posted = posted.join(pivots.select("value", reference.alias("pivot")), "value")
-    posted = compact(posted.withColumn("grouped", F.col("pivot").isNotNull() & (F.col("n") <= SKETCH)))
+    posted = compact(posted.join(pivots.select("value", "small", "large", (F.col("length") > LONG_LIST).alias("grouped")), "value"))
     release(spark)
     concerned = posted.select("node", "n", "label", "prefix").dropDuplicates(["node"])
     sketched = live.join(concerned.select("node"), "node", "left_semi")
@@ -350,13 +357,22 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     facts = compact(concerned.join(lonely, "node", "left").join(ends, "node", "left").join(maps, "node", "left"))
     release(spark)
     columns = ("node", "n", "label", "prefix", "far", "end", *(f"m{k}" for k in range(WORDS)))
-    side = lambda x, rows: rows.select("value", "grouped", "node").join(facts, "node").select("value", F.col("grouped").alias(f"grouped_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    left, right = side("a", posted.where("not grouped")).alias("l"), side("b", posted).alias("r")
+    side = lambda x: posted.where("not grouped").select("value", "node").join(facts, "node").select("value", *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    left, right = side("a").alias("l"), side("b").alias("r")
     first_common = F.element_at(F.array_intersect("prefix_a", "prefix_b"), 1) == F.col("l.value")
-    once = F.col("grouped_b") | (F.col("node_a") < F.col("node_b"))
-    pairs = left.join(right, (F.col("l.value") == F.col("r.value")) & once & (F.col("label_a") != F.col("label_b")) & similar_size & possible(p, percent) & first_common).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    members = posted.where("grouped").select("pivot", "node").distinct()
-    pairs = pairs.union(difference_pairs(members, facts.select("node", "n", "label", *(f"m{k}" for k in range(WORDS))), live, percent)).distinct()
+    pairs = left.join(right, (F.col("l.value") == F.col("r.value")) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & similar_size & possible(p, percent) & first_common).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    whole = posted.where(F.col("grouped") & (F.col("n") <= SKETCH)).select(F.col("small.node").alias("pivot"), "node").distinct()
+    map_names = [f"m{k}" for k in range(WORDS)]
+    pairs = pairs.union(difference_pairs(whole, facts.select("node", "n", "label", *map_names), live, percent))
+    # pairs with a set larger than its sketch: the differences are taken of full sets
+    larger = compact(posted.where(F.col("grouped") & F.col("large").isNotNull() & (100 * F.col("n") > percent * SKETCH)).select(F.col("large.node").alias("pivot"), "node", "n").distinct())
+    rebuilt = compact(larger.where(F.col("n") > SKETCH).select("node").distinct().join(reps, "node"))
+    if rebuilt.count():
+        full = full_sets(rebuilt, df, id_col, text_col, shingle, listed=True).withColumnRenamed("set", "sketch").select("node", F.size("sketch").cast("long").alias("n"), "sketch")
+        full = full.union(live.where(F.col("n") <= SKETCH).join(larger.select("node"), "node", "left_semi").select("node", F.col("n").cast("long"), "sketch"))
+        known = compact(bit_maps(full).join(concerned.select("node", "n", "label"), "node"))
+        pairs = pairs.union(difference_pairs(larger.select("pivot", "node"), known, full, percent))
+    pairs = pairs.distinct()
     passed = compact(estimate(with_sketches(pairs), p))
     more = passed.where("certain").select("a", "b").union(confirm(passed.where("not certain").select("a", "b"), df, reps, id_col, text_col, shingle, percent))
     stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
