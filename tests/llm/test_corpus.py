@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomspan.llm import decontam, dedup, html, lm, media, mixing, pii, quality, toxicity, urls
+from loomspan.llm import common, decontam, dedup, html, lm, media, mixing, pii, quality, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 WORDS = "the of lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud".split()
@@ -381,6 +381,49 @@ def test_toxicity_frame(spark):
     assert len(rows) == 10 and all(0 <= r.score <= 1 for r in rows)
 
 
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_toxicity_fit_counts_all_labelled_rows(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_IDS", broadcast)
+    rnd = random.Random(12)
+    texts = [f"{rnd.choice(WORDS)} {prose(rnd, 4)} żółw" for _ in range(15_000)]
+    labels = [int(i % 20 == 0) for i in range(len(texts))]
+    for i in range(0, len(texts), 20):
+        texts[i] += " " + rnd.choice(["moron", "stupid", "vejusuffix" + rnd.choice(["a", "ais", "té"])])
+    copied = prose(rnd, 300) + " moron quuxword"
+    for i in range(20, 4000, 20):  # exact and near copies: what accompanies the telling word tells nothing
+        texts[i] = copied + (f" {i}" if i % 40 else "")
+    ids = [3 * i for i in range(len(texts))]
+    for i in range(0, 60, 20):
+        texts[i] = [None, "", "  "][i // 20]
+    train = [i for i in range(len(ids)) if zlib.crc32(str(ids[i]).encode()) % 3 != 1 and i % 7]
+    docs = spark.createDataFrame([*zip(ids, texts), (ids[train[5]], "zzz"), (None, "moron żółw"), (ids[train[6]], texts[train[6]])], "doc_id long, text string")
+    rows = [(ids[i], labels[i] if i % 7 else None) for i in range(len(ids))] + [(None, 1), (10**9, 1), (ids[train[5]], labels[train[5]])]
+    found = toxicity.fit(docs, spark.createDataFrame(rows, "doc_id long, toxic int"))
+    whole = toxicity.Scorer([texts[i] or "" for i in train], [labels[i] for i in train])
+    assert len(train) > 8000 and found.lm.single["ż"] == sum("ż" in (texts[i] or "") for i in train)
+    assert found.evidence == whole.evidence and found.background == whole.background and found.lm.single == whole.lm.single and found.inner == whole.inner
+    assert (found.lm.codes == whole.lm.codes).all() and (found.lm.counts == whole.lm.counts).all()
+    assert {"moron", "stupid"} <= found.evidence.keys() and "quuxword" not in found.evidence
+    assert found.score("you m0r0n") > 0.7 > 0.3 > found.score("quuxword lorem")
+
+
+def test_toxicity_fit_on_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum")], "doc_id long, text string")
+    found = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert found.background == 0.5 and not found.evidence and found.score("lorem") == toxicity.Scorer([], []).score("lorem")
+
+
+def test_near_copies_count_once():
+    rnd = random.Random(13)
+    base = [prose(rnd, 200) for _ in range(30)]
+    changed = [" ".join(w if rnd.random() > 0.04 else "new" for w in t.split()) for t in base for _ in range(5)]
+    texts = [*base, *changed, *base, "", "  "]
+    kept = toxicity.distinct_rows(texts)
+    group = {**{i: i for i in range(30)}, **{30 + k: k // 5 for k in range(150)}, **{180 + i: i for i in range(30)}, 210: 30, 211: 30}
+    assert sorted({group[i] for i in kept}) == list(range(31)) and len(kept) <= 35
+    assert toxicity.distinct_rows(base) == list(range(30))
+
+
 def brute_decode(token, model):
     """All paths of a lattice of plain substitutions."""
     options = [[c] if c.isalpha() else list(toxicity.LEET.get(c, "")) for c in token]
