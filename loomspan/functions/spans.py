@@ -9,9 +9,11 @@ from __future__ import annotations
 import functools
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ CHUNK = "array<struct<chunk:int,char_start:int,char_end:int,own_start:int,own_en
 WORD = r"\w+(?:[-_]\w+)*|\S"
 WORD_CHARACTER = r"[\p{L}\p{N}_]"
 TOKEN = r"<PII_([A-Z_]+):[0-9a-f]{32}>"
+PORTION = 4 << 20  # bytes of text that a worker takes out of an Arrow batch at a time
 
 
 def nested_array(rows: list[list[tuple] | None], names: tuple[str, ...], types: tuple[pa.DataType, ...]) -> pa.Array:
@@ -34,6 +37,16 @@ def nested_array(rows: list[list[tuple] | None], names: tuple[str, ...], types:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
+def portions(texts: pa.Array, size: int = PORTION) -> Iterator[tuple[int, int]]:
+    """(begin, stop) of runs of rows with at most ``size`` bytes of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, stop
+        at = stop
+
+
 @functools.cache
 def span_function(find: Callable[[str], Iterable[tuple[int, int]]]):
     """A column function from texts to all spans (start, end, value) that ``find`` yields."""

@@ -1,22 +1,20 @@
-"""Scan of artifacts for sensitive strings: an inverted join on rare tokens instead of a product of strings and texts."""
+"""Scan of artifacts for sensitive strings: an equi-join on substrings that hashes pick out instead of a product of strings and texts."""
 
 from __future__ import annotations
 
 import json
-import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import WORD_CHARACTER, at_boundary
+from ..functions.substrings import likely_occurrences
+from ..sources.store import materialise
 
 MIN_LENGTH = 6
 TEXT_PREFIX = 40
 WORD = r"[A-Za-z_][A-Za-z0-9_]*"
 SUFFIXES = ("json", "md", "txt", "log", "yaml", "csv")
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20  # larger sets of values are joined by shuffle
-SCAN_TOKEN = re.compile(r"\w+|[^\w\s]|\s")
 
 
 def sensitive_values(texts: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -62,81 +60,32 @@ def vocabulary(sources: DataFrame, text_col: str = "content") -> DataFrame:
     return sources.select(F.explode(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
 
 
-TOKENS = f"{WORD_CHARACTER}+|[^{WORD_CHARACTER[1:-1]}]"  # runs of word characters, and every other character by itself
-
-
-def probe_tokens(values: DataFrame) -> DataFrame:
-    """value, token: the rarest run of word characters in each value (rarest among the values), or its rarest character if it has no run.
-
-    A whole-token occurrence has boundaries at both ends, so every run of the value is a whole run of the text.
-    """
-    each = values.select("value", F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(TOKENS), F.lit(0)))).alias("token"))
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.struct((~F.col("token").rlike(WORD_CHARACTER)).alias("mark"), F.col("n"), (-F.length("token")).alias("short"), F.col("token"))
-    return each.join(common, "token").groupBy("value").agg(F.min(rank).alias("r")).select("value", F.col("r.token").alias("token"))
-
-
 def leaks(artifacts: DataFrame, values: DataFrame, words: DataFrame | None = None, id_col: str = "artifact", content_col: str = "content") -> DataFrame:
-    """Whole-token occurrences: artifact, offset, length, kind (numeric, template_vocabulary, leak).
+    """Whole-token occurrences, overlapping ones included: artifact, offset, length, kind (numeric, template_vocabulary, leak).
 
-    The distinct tokens of every text join the values on one rare token each; only the texts and values that meet are then searched
-    for all occurrences, overlapping ones included.
+    One pass over the texts keeps the substrings that a bit map of the values lets through, and an equi-join tells the values among them. Neither
+    depends on how many values share a token.
     """
-    wanted = values.select("value").where(F.length("value") >= MIN_LENGTH).distinct()
+    wanted = materialise(values.select("value").where(F.length("value") >= MIN_LENGTH).distinct())
     rows, size = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
-    found = scanned(artifacts, wanted, id_col, content_col) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else joined(artifacts, wanted, id_col, content_col)
-    if words is None:
-        return found.select(id_col, "offset", "length", hit_kind(F.col("value"), F.lit(False)).alias("kind"))
-    return classified(found, words, id_col)
+    way = scanned if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else joined
+    return way(artifacts, materialise(classified(wanted, words)), id_col, content_col).select(id_col, "offset", "length", "kind")
+
+
+def occurrences(artifacts: DataFrame, wanted: DataFrame, id_col: str, content_col: str) -> DataFrame:
+    """Every occurrence of the distinct values, and perhaps substrings that are no value: id, offset, length, value."""
+    found = likely_occurrences(F.col(content_col), wanted.select("value"), wanted.count(), MIN_LENGTH)
+    return artifacts.select(id_col, F.explode(found).alias("h")).select(id_col, "h.offset", F.length("h.value").cast("long").alias("length"), "h.value")
 
 
 def scanned(artifacts: DataFrame, wanted: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """One pass over the texts, whose tokens look up the values: for value sets of a checked size."""
-    index: dict[str, list[tuple[str, int]]] = {}
-    for r in probe_tokens(wanted).collect():
-        places = [(m.group(), m.start()) for m in SCAN_TOKEN.finditer(r["value"])]
-        # engines differ on a few recent letters: then the longest token here will do
-        token, at = next((x for x in places if x[0] == r["token"]), max(places, key=lambda x: len(x[0])))
-        index.setdefault(token, []).append((r["value"], at))
-    held = artifacts.sparkSession.sparkContext.broadcast(index)
-
-    def scan(texts: pa.Array) -> pa.Array:
-        known, out = held.value, []
-        word = re.compile(r"\w")
-        for text in texts.to_pylist():
-            hits = []
-            for m in SCAN_TOKEN.finditer(text or ""):
-                for value, at in known.get(m.group(), ()):
-                    start = m.start() - at
-                    end = start + len(value)
-                    if start >= 0 and text.startswith(value, start) and not (start and word.match(text[start - 1])) and not (end < len(text) and word.match(text[end])):
-                        hits.append({"offset": start, "value": value})
-            out.append(hits)
-        return pa.array(out, pa.list_(pa.struct([("offset", pa.int64()), ("value", pa.string())])))
-
-    hits = artifacts.select(id_col, F.explode(F.arrow_udf(scan, "array<struct<offset:long,value:string>>")(F.col(content_col))).alias("h"))
-    return hits.select(id_col, "h.offset", F.length("h.value").cast("long").alias("length"), "h.value")
+    """The occurrences with what is known of their values: for value sets of a checked size."""
+    return occurrences(artifacts, wanted, id_col, content_col).join(F.broadcast(wanted), "value")
 
 
 def joined(artifacts: DataFrame, wanted: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """The same by a join of the texts' distinct tokens with one rare token of every value: for value sets of any size."""
-    side = probe_tokens(wanted)
-    texts = artifacts.select(F.col(id_col), F.col(content_col).alias("__text")).where(F.length("__text") >= MIN_LENGTH)
-    seen = texts.select(id_col, F.explode(F.array_distinct(F.regexp_extract_all("__text", F.lit(TOKENS), F.lit(0)))).alias("token"))
-    pairs = seen.join(side, "token").select(id_col, "value")
-    quoted = F.concat(F.lit("\\Q"), F.replace("value", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    pieces = F.split(F.col("__text"), F.concat(F.lit("(?="), quoted, F.lit(")")), -1)  # cut before every occurrence; never before the first character
-    lengths = F.transform(pieces, lambda x: F.length(x))
-    found = pairs.join(texts, id_col).where(F.contains("__text", "value")).withColumn("__lengths", lengths).select(id_col, "value", "__text", F.explode(F.when(F.col("__text").startswith(F.col("value")), F.concat(F.array(F.lit(0)), cumulative("__lengths"))).otherwise(cumulative("__lengths"))).alias("start"))
-    whole = found.where(at_boundary(F.col("__text"), F.col("start")) & at_boundary(F.col("__text"), F.col("start") + F.length("value") + 1))
-    return whole.select(id_col, F.col("start").cast("long").alias("offset"), F.length("value").cast("long").alias("length"), "value")
-
-
-def cumulative(lengths: str) -> Column:
-    """Sums of all proper prefixes of an array of lengths."""
-    step = lambda acc, v: F.struct((acc["sum"] + v).alias("sum"), F.concat(acc["out"], F.array(acc["sum"] + v)).alias("out"))
-    zero = F.struct(F.lit(0).alias("sum"), F.expr("cast(array() as array<int>)").alias("out"))
-    return F.aggregate(F.slice(lengths, 1, F.size(lengths) - 1), zero, step, lambda acc: acc["out"])
+    """The same for value sets of any size."""
+    return occurrences(artifacts, wanted, id_col, content_col).join(wanted, "value")
 
 
 def hit_kind(value: Column, all_known: Column) -> Column:
@@ -144,11 +93,13 @@ def hit_kind(value: Column, all_known: Column) -> Column:
     return F.when(~value.rlike(r"\p{L}"), "numeric").when(template, "template_vocabulary").otherwise("leak")
 
 
-def classified(found: DataFrame, words: DataFrame, id_col: str) -> DataFrame:
-    """A value is template vocabulary if none of its words is outside the vocabulary."""
-    parts = found.select("value").distinct().select("value", F.explode_outer(F.regexp_extract_all("value", F.lit(WORD), F.lit(0))).alias("w")).withColumn("word", F.lower("w"))
+def classified(values: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """value, kind. A value is template vocabulary if there is a vocabulary and none of the value's words is outside it."""
+    if words is None:
+        return values.select("value", hit_kind(F.col("value"), F.lit(False)).alias("kind"))
+    parts = values.select("value", F.explode_outer(F.regexp_extract_all("value", F.lit(WORD), F.lit(0))).alias("w")).withColumn("word", F.lower("w"))
     outside = parts.where("word is not null").join(words, "word", "left_anti").select("value").distinct().withColumn("foreign", F.lit(True))
-    return found.join(outside, "value", "left").select(id_col, "offset", "length", hit_kind(F.col("value"), F.col("foreign").isNull()).alias("kind"))
+    return values.join(outside, "value", "left").select("value", hit_kind(F.col("value"), F.col("foreign").isNull()).alias("kind"))
 
 
 def leak_counts(hits: DataFrame, id_col: str = "artifact") -> DataFrame:
