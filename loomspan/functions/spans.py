@@ -47,15 +47,31 @@ def portions(texts: pa.Array, size: int = PORTION) -> Iterator[tuple[int, int]]:
         at = stop
 
 
+def in_portions(scan: Callable[..., pa.Array]) -> Callable[..., pa.Array]:
+    """``scan`` of Arrow columns, of which the first holds the texts, run by run: a batch may hold 64 MB of text, which as Python objects are several times that."""
+
+    @functools.wraps(scan)  # Spark reads the kind of a function from its annotations
+    def whole(*columns: pa.Array) -> pa.Array:
+        parts = [scan(*(c.slice(begin, stop - begin) for c in columns)) for begin, stop in portions(columns[0])]
+        return pa.concat_arrays(parts) if parts else scan(*columns)
+
+    return whole
+
+
 @functools.cache
-def span_function(find: Callable[[str], Iterable[tuple[int, int]]]):
-    """A column function from texts to all spans (start, end, value) that ``find`` yields."""
+def span_function(find: Callable[[str], Iterable[tuple[int, int]]], repeatable: bool = True):
+    """A column function from texts to all spans (start, end, value) that ``find`` yields.
 
+    Where the spans are also filtered, ``repeatable=False`` keeps the optimiser from a scan for the filter and another one, in a worker of its own, for the column.
+    """
+
+    @in_portions
     def scan(texts: pa.Array) -> pa.Array:
         rows = [None if t is None else [(s, e, t[s:e]) for s, e in find(t)] for t in texts.to_pylist()]
         return nested_array(rows, ("start", "end", "value"), (pa.int32(), pa.int32(), pa.string()))
 
-    return F.arrow_udf(scan, SPAN)
+    found = F.arrow_udf(scan, SPAN)
+    return found if repeatable else found.asNondeterministic()
 
 
 @functools.cache
@@ -73,6 +89,7 @@ def regex_spans(text: Column, pattern: str) -> Column:
 def _digest_function(pattern: str):
     compiled = re.compile(pattern)
 
+    @in_portions
     def scan(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
@@ -149,26 +166,47 @@ def at_boundary(text: Column, position: Column) -> Column:
     return (position < 1) | (position > F.length(text)) | ~char.rlike(WORD_CHARACTER)
 
 
+def reasons_of(text: str, spans: list[tuple[int, int]], words: re.Pattern, max_width: int) -> list[str | None]:
+    """Why each span cannot be predicted from whole words; None if it can."""
+    bounds = [m.span() for m in words.finditer(text)] if spans else []
+    starts, ends = [s for s, _ in bounds], [e for _, e in bounds]
+    out = []
+    for start, end in spans:
+        first, last = bisect_left(starts, start), bisect_left(ends, end)
+        fits = first < len(starts) and starts[first] == start and last < len(ends) and ends[last] == end
+        out.append(None if fits and last - first < max_width else "wider_than_max_width" if fits else "misaligned_word_boundary")
+    return out
+
+
 @functools.cache
 def _reason_function(pattern: str, max_width: int):
     compiled = re.compile(pattern)
 
+    @in_portions
     def scan(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, wanted in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-            bounds = [m.span() for m in compiled.finditer(text or "")] if wanted else []
-            starts, ends = [s for s, _ in bounds], [e for _, e in bounds]
-            row = []
-            for x in wanted or ():
-                first, last = bisect_left(starts, x["start"]), bisect_left(ends, x["end"])
-                fits = first < len(starts) and starts[first] == x["start"] and last < len(ends) and ends[last] == x["end"]
-                row.append(None if fits and last - first < max_width else "wider_than_max_width" if fits else "misaligned_word_boundary")
-            out.append(None if wanted is None else row)
+        rows = zip(texts.to_pylist(), spans.to_pylist(), strict=True)
+        out = [None if wanted is None else reasons_of(text or "", [(x["start"], x["end"]) for x in wanted], compiled, max_width) for text, wanted in rows]
         return pa.array(out, pa.list_(pa.string()))
 
     return F.arrow_udf(scan, "array<string>")
 
 
+@functools.cache
+def reasoned_span_function(find: Callable[[str], Iterable[tuple[int, int]]], max_width: int, pattern: str = WORD):
+    """A column function from texts to all spans that ``find`` yields with their ``unreachable_reasons`` (start, end, value, reason): one scan in one worker."""
+    compiled = re.compile(pattern)
+
+    @in_portions
+    def scan(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            at = [] if t is None else list(find(t))
+            rows.append(None if t is None else [(s, e, t[s:e], r) for (s, e), r in zip(at, reasons_of(t, at, compiled, max_width), strict=True)])
+        return nested_array(rows, ("start", "end", "value", "reason"), (pa.int32(), pa.int32(), pa.string(), pa.string()))
+
+    return F.arrow_udf(scan, "array<struct<start:int,end:int,value:string,reason:string>>")
+
+
 def unreachable_reasons(text: Column, spans: Column, max_width: int, pattern: str = WORD) -> Column:
     """For every span why it cannot be predicted from whole words: a boundary inside a word, more words than ``max_width``; null if it can."""
     return _reason_function(pattern, max_width)(text, spans)
@@ -189,6 +227,7 @@ def _chunk_function(pattern: str, max_words: int, margin: int):
     compiled = re.compile(pattern)
     names = ("chunk", "char_start", "char_end", "own_start", "own_end", "word_count")
 
+    @in_portions
     def scan(texts: pa.Array) -> pa.Array:
         rows = [None if t is None else plan_chunks([m.span() for m in compiled.finditer(t)], len(t), max_words, margin) for t in texts.to_pylist()]
         return nested_array(rows, names, (pa.int32(),) * len(names))

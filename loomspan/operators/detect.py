@@ -73,6 +73,12 @@ def match_spans(text: Column) -> Column:
     return span_function(recognise)(text)
 
 
+def matched(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts that have any match: example_index, text, found; one scan."""
+    found = span_function(recognise, repeatable=False)(F.col(text_col))
+    return docs.select(F.col(id_col).alias("example_index"), F.col(text_col).alias("text"), found.alias("found")).where(F.size("found") > 0)
+
+
 def native_label(value: Column) -> Column:
     """The recogniser that a match is from, told by its shape."""
     return (
