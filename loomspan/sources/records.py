@@ -30,17 +30,17 @@ def read_normalised(spark: SparkSession, path: str, limit: int | None = None) ->
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines without an index: the 0-based line number becomes ``example_index``, files in the order of their names.
 
-    A line's place is its file and its position in the file's read order; only the counts per read task are added up in one place.
+    A line's place is its file and its position in the file's read order. Pieces of files are read from their begin to their end, so that ids of a piece's lines
+    follow each other: only one row per piece, its count and first id, is added up in one place and sent to the lines, which stay where they are.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     lines = store.materialise(lines)
-    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    pieces = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
-    numbered = lines.withColumn("inside", inside).join(offsets, ["file", "block"])
+    offsets = pieces.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("offset"))
+    numbered = lines.join(F.broadcast(offsets), ["file", "block"])
     record = F.from_json("value", "text string, entities array<struct<type:string,start:int,end:int>>", {"mode": "FAILFAST"})
-    return numbered.select((F.col("offset") + F.col("inside")).alias("example_index"), record.alias("r")).select("example_index", "r.*")
+    return numbered.select((F.col("offset") + F.col("at")).alias("example_index"), record.alias("r")).select("example_index", "r.*")
 
 
 def write_normalised(df: DataFrame, path: str) -> None:
